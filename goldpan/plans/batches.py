@@ -1 +1,100 @@
-"""Placeholder."""
+"""Sharding, resuming and seeding (family J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.numbers import row_seed
+from ..operators import batch
+from . import inputs
+from .inputs import SAMPLES, with_
+from .registry import Tables, query
+
+
+@query(
+    "j01_stride_shard",
+    with_(SAMPLES)
+    + """SELECT source_index, sample_id, source_index % 4 AS shard, source_index // 4 AS shard_position
+FROM samples""",
+)
+def _(t: Tables):
+    return batch.stride_shard(inputs.samples(t).select("source_index", "sample_id"), 4)
+
+
+@query(
+    "j01_merge_issues",
+    """WITH merged AS (SELECT l_orderkey + 7 AS source_index FROM lineitem),
+counts AS (SELECT source_index, count(*) AS n FROM merged GROUP BY 1)
+SELECT coalesce(o.o_orderkey, c.source_index) AS source_index,
+  CASE WHEN c.n IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'unexpected'
+       ELSE 'duplicate' END AS issue
+FROM orders o FULL JOIN counts c ON c.source_index = o.o_orderkey
+WHERE c.n IS NULL OR o.o_orderkey IS NULL OR c.n > 1""",
+)
+def _(t: Tables):
+    merged = t.lineitem.selectExpr("l_orderkey + 7 AS source_index")
+    return batch.merge_issues(inputs.samples(t), merged, "source_index")
+
+
+@query(
+    "j02_remaining",
+    "SELECT o_orderkey AS source_index FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+)
+def _(t: Tables):
+    done = t.lineitem.selectExpr("l_orderkey AS source_index")
+    return batch.remaining(inputs.samples(t).select("source_index"), done, ["source_index"])
+
+
+@query(
+    "j02_prefix_violations",
+    """SELECT o_orderkey AS source_index FROM orders WHERE o_orderkey NOT IN
+  (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')
+AND o_orderkey <= (SELECT max(l_orderkey) FROM lineitem WHERE l_returnflag = 'A'
+  AND l_orderkey IN (SELECT o_orderkey FROM orders))""",
+)
+def _(t: Tables):
+    done = t.lineitem.where("l_returnflag = 'A'").selectExpr("l_orderkey AS source_index").distinct()
+    todo = inputs.samples(t).select("source_index")
+    return batch.prefix_violations(todo, done, "source_index", "source_index")
+
+
+@query(
+    "j03_row_seed",
+    """SELECT o_orderkey AS source_index, (42 * 1000003 + 97409 + CAST(o_orderkey AS BIGINT) * 9176)
+  % 2147483647 AS seed FROM orders""",
+)
+def _(t: Tables):
+    return t.orders.select(
+        F.col("o_orderkey").alias("source_index"), row_seed(42, F.col("o_orderkey"), 1).alias("seed")
+    )
+
+
+_ORDERED = """ordered AS (SELECT row_number() OVER (ORDER BY md5('7:' || CAST(o_orderkey AS STRING)),
+  o_orderkey) - 1 AS position, o_orderkey AS source_index FROM orders),
+padded AS (SELECT *, false AS repeated FROM ordered UNION ALL
+  SELECT position + 1, source_index, true FROM ordered
+  WHERE position = (SELECT count(*) - 1 FROM ordered) AND (SELECT count(*) FROM ordered) % 7 <> 0)"""
+
+
+@query("j04_seeded_order", with_(_ORDERED) + "SELECT * FROM padded")
+def _(t: Tables):
+    ids = t.orders.select(F.col("o_orderkey").alias("source_index"))
+    return batch.seeded_order(ids, "source_index", 7, 7)
+
+
+@query(
+    "j05_pair_assignment",
+    with_(_ORDERED) + "SELECT *, position // 7 AS cursor, position % 7 AS rank FROM padded",
+)
+def _(t: Tables):
+    ids = t.orders.select(F.col("o_orderkey").alias("source_index"))
+    return batch.pair_assignment(batch.seeded_order(ids, "source_index", 7, 7), 7)
+
+
+@query(
+    "j07_sample_cap",
+    with_(SAMPLES) + "SELECT source_index, sample_id, db_id FROM samples ORDER BY source_index LIMIT 500",
+)
+def _(t: Tables):
+    rows = inputs.samples(t).select("source_index", "sample_id", "db_id")
+    return batch.sample_cap(rows, 500, "source_index")
