@@ -8,6 +8,7 @@ All rows of the table are used.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .registry import Tables
 
@@ -224,8 +225,7 @@ CATALOG = _sql("catalog", "lineitem JOIN orders ON l_orderkey = o_orderkey", _CA
 
 
 def catalog(t: Tables) -> DataFrame:
-    joined = t.lineitem.join(t.orders, t.lineitem["l_orderkey"] == t.orders["o_orderkey"])
-    return _df(joined, _CATALOG)
+    return _df(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), _CATALOG)
 
 
 #: Foreign keys of that catalog; needs CATALOG. Some point at columns that do not exist.
@@ -318,8 +318,6 @@ LENGTHS = """lengths AS (
 
 
 def lengths(t: Tables) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from ..operators.tokens import word_count
 
     return _df(
@@ -349,8 +347,6 @@ RUNS = """runs AS (
 
 
 def runs(t: Tables) -> DataFrame:
-    from pyspark.sql import functions as F
-
     keyed = t.orders.selectExpr(
         "CAST(o_custkey % 7 AS BIGINT) AS run",
         "CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS step",

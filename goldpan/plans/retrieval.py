@@ -1 +1,409 @@
-"""Placeholder."""
+"""Value index and ranked retrieval (family E) and the grounded dataset (F07)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import datasets, index
+from . import inputs
+from .inputs import CATALOG, with_
+from .registry import Tables, query
+
+_FOLD = "replace(lower({}), 'ß', 'ss')"
+_TOKENS = "regexp_extract_all(strip_accents(" + _FOLD + r"), '[\p{{L}}\p{{N}}]+')"
+_LINE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+# name -> (numeric total order, string columns)
+SCANNED = {
+    "region": (["r_regionkey"], ["r_name"]),
+    "nation": (["n_nationkey"], ["n_name"]),
+    "customer": (["c_custkey"], ["c_name", "c_mktsegment"]),
+    "supplier": (["s_suppkey"], ["s_name"]),
+    "part": (["p_partkey"], ["p_name", "p_brand", "p_type"]),
+    "orders": (["o_orderkey"], ["o_orderstatus", "o_orderpriority"]),
+    "lineitem": (
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
+        ["l_returnflag", "l_linestatus"],
+    ),
+    "events": (["event_id"], ["event_type"]),
+}
+
+
+def _scan_sql(name: str, column: str) -> str:
+    order = ", ".join(SCANNED[name][0])
+    return (
+        f"SELECT '{name}' AS table_name, '{column}' AS column_name, CAST(row_number() OVER "
+        f"(ORDER BY {order}) AS INTEGER) AS scan_order, {column} AS value FROM {name} "
+        f"WHERE {column} IS NOT NULL QUALIFY scan_order <= 5000"
+    )
+
+
+_SCAN = (
+    "scanned AS ("
+    + " UNION ALL ".join(
+        f"SELECT * FROM ({_scan_sql(n, c)})" for n, (_, cols) in SCANNED.items() for c in cols
+    )
+    + ")"
+)
+_NORMAL = (
+    f"normal AS (SELECT table_name, column_name, scan_order, {_LINE.format('value')} AS value "
+    f"FROM scanned WHERE length({_LINE.format('value')}) BETWEEN 1 AND 128)"
+)
+_DISTINCT = (
+    "distinct_ AS (SELECT table_name, column_name, arg_min(value, scan_order) AS value, "
+    f"min(scan_order) AS scan_order FROM normal GROUP BY 1, 2, {_FOLD.format('value')})"
+)
+_CAPPED = """capped AS (SELECT *, CAST(row_number() OVER (PARTITION BY table_name, column_name
+  ORDER BY scan_order) AS INTEGER) AS value_order FROM distinct_ QUALIFY value_order <= 500)"""
+_PER_COLUMN = """per_column AS (SELECT s.table_name, s.column_name,
+  coalesce(max(CASE WHEN c.value_order = 500 THEN c.scan_order END), max(s.scan_order)) AS scanned_values,
+  count(c.value_order) AS indexed_unique_values
+  FROM scanned s LEFT JOIN capped c ON c.table_name = s.table_name AND c.column_name = s.column_name
+    AND c.scan_order = s.scan_order GROUP BY 1, 2)"""
+
+
+def _frames(t: Tables):
+    return {n: (getattr(t, n), order, cols) for n, (order, cols) in SCANNED.items()}
+
+
+def _scanned(t: Tables):
+    return index.scan_tables(_frames(t))
+
+
+def _capped(t: Tables):
+    return index.capped_values(index.distinct_values(index.normalized_values(_scanned(t))))
+
+
+@query(
+    "a06_column_scan",
+    """SELECT column_name, CAST(scan_order AS INTEGER) AS scan_order, value FROM (
+SELECT 'p_name' AS column_name, row_number() OVER (ORDER BY p_partkey) AS scan_order, p_name AS value FROM part
+UNION ALL SELECT 'p_brand', row_number() OVER (ORDER BY p_partkey), p_brand FROM part) WHERE scan_order <= 700""",
+)
+def _(t: Tables):
+    scan = index.bounded_scan(t.part, "part", ["p_partkey"], ["p_name", "p_brand"], 700)
+    return scan.drop("table_name")
+
+
+@query(
+    "e01_value_columns",
+    with_(CATALOG)
+    + """SELECT db_id, table_name, ordinal, declared_type, regexp_matches(upper(declared_type),
+  'TEXT|CHAR|CLOB|DATE|DATETIME') AS searchable FROM catalog""",
+)
+def _(t: Tables):
+    return inputs.catalog(t).select(
+        "db_id", "table_name", "ordinal", "declared_type",
+        text.is_value_type(F.col("declared_type")).alias("searchable"),
+    )
+
+
+@query("e02_bounded_scan", with_(_SCAN) + "SELECT * FROM scanned")
+def _(t: Tables):
+    return _scanned(t)
+
+
+@query(
+    "e03_value_normalisation",
+    rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents)
+SELECT doc_id, {_LINE.format('raw')} AS value FROM lines
+WHERE length({_LINE.format('raw')}) BETWEEN 1 AND 128""",
+)
+def _(t: Tables):
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
+    return index.normalized_values(lines)
+
+
+@query("e04_distinct_values", with_(_SCAN, _NORMAL, _DISTINCT) + "SELECT * FROM distinct_")
+def _(t: Tables):
+    return index.distinct_values(index.normalized_values(_scanned(t)))
+
+
+@query("e05_capped_values", with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED) + "SELECT * FROM capped")
+def _(t: Tables):
+    return _capped(t)
+
+
+_DESCRIBED = """described AS (SELECT *, CASE WHEN part_ref % 3 = 0 THEN '' ELSE concat('about ', declared_type) END
+  AS column_description, CASE WHEN part_ref % 4 = 0 THEN '' ELSE 'coded' END AS value_description
+  FROM catalog)"""
+
+
+@query(
+    "e06_column_search_text",
+    with_(CATALOG, _DESCRIBED)
+    + """SELECT db_id, table_ordinal, ordinal, concat_ws(' ', nullif(table_name, ''), nullif(table_display, ''),
+  nullif(column_name, ''), nullif(column_display, ''), nullif(column_description, ''),
+  nullif(value_description, '')) AS search_text FROM described""",
+)
+def _(t: Tables):
+    described = inputs.catalog(t).selectExpr(
+        "*",
+        "CASE WHEN part_ref % 3 = 0 THEN '' ELSE concat('about ', declared_type) END AS column_description",
+        "CASE WHEN part_ref % 4 = 0 THEN '' ELSE 'coded' END AS value_description",
+    )
+    parts = ["table_name", "table_display", "column_name", "column_display",
+             "column_description", "value_description"]
+    return described.select(
+        "db_id", "table_ordinal", "ordinal", index.column_search_text(parts).alias("search_text")
+    )
+
+
+_META_ROWS = (
+    "meta AS (SELECT table_name, column_name, concat_ws(' ', table_name, column_name) AS search_text "
+    "FROM (SELECT DISTINCT table_name, column_name FROM scanned))"
+)
+_INDEX_ROWS = """index_rows AS (SELECT table_name, column_name, 'metadata' AS row_kind, '' AS value,
+    search_text FROM meta
+  UNION ALL SELECT table_name, column_name, 'value', value, value FROM capped)"""
+
+
+@query(
+    "e07_index_build",
+    with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED, _META_ROWS, _INDEX_ROWS)
+    + f"""SELECT table_name, column_name, row_kind, value, CAST(len(toks) AS INTEGER) AS row_length,
+  term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM (
+    SELECT *, {_TOKENS.format('search_text')} AS toks FROM index_rows)) GROUP BY ALL""",
+)
+def _(t: Tables):
+    scanned = _scanned(t)
+    values = index.capped_values(index.distinct_values(index.normalized_values(scanned)))
+    metadata = scanned.select(*index.COLUMN).distinct().withColumn(
+        "search_text", index.column_search_text(index.COLUMN)
+    )
+    rows = index.index_rows(metadata, values, index.COLUMN)
+    return index.postings(rows, [*index.COLUMN, "row_kind", "value"])
+
+
+@query(
+    "e08_index_statistics",
+    with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED, _PER_COLUMN, CATALOG)
+    + """SELECT count(DISTINCT db_id) AS database_count, count(*) AS column_count,
+  count(*) FILTER (regexp_matches(upper(declared_type), 'TEXT|CHAR|CLOB|DATE|DATETIME'))
+    AS value_column_count,
+  CAST((SELECT sum(scanned_values) FROM per_column) AS BIGINT) AS scanned_value_count,
+  CAST((SELECT sum(indexed_unique_values) FROM per_column) AS BIGINT) AS indexed_unique_value_count
+FROM catalog""",
+)
+def _(t: Tables):
+    scanned = _scanned(t)
+    values = index.capped_values(index.distinct_values(index.normalized_values(scanned)))
+    per_column = index.value_statistics(scanned, values)
+    return index.index_statistics(inputs.catalog(t), per_column)
+
+
+# ---- retrieval over whole documents ---------------------------------------------------
+
+_QUESTIONS = """questions AS (SELECT item_id AS question_id,
+    concat('src', CAST(item_id % 20 AS STRING)) AS db_id, text AS question,
+    CASE WHEN item_id % 3 = 0 THEN 'Show the c1_en _list_ of 7' ELSE '' END AS evidence FROM benchmark)"""
+_STOPS = "[" + ", ".join(f"'{w}'" for w in text.QUERY_STOP_WORDS) + "]"
+_TERMS = rf"""words AS (SELECT question_id, db_id, unnest(regexp_extract_all(
+    {_FOLD.format("concat_ws(' ', question, evidence)")}, '[\p{{L}}\p{{N}}_]+')) AS w FROM questions),
+kept_words AS (SELECT question_id, db_id, trim(w, '_') AS w FROM words),
+terms AS (SELECT DISTINCT question_id, db_id, term FROM (
+    SELECT question_id, db_id, unnest(string_split(strip_accents(w), '_')) AS term FROM kept_words
+    WHERE w <> '' AND NOT list_contains({_STOPS}, w) AND (length(w) > 1 OR regexp_matches(w, '[0-9]')))
+  WHERE term <> '')"""
+_CORPUS = f"""info AS (SELECT DISTINCT source AS db_id, lang AS table_name,
+    concat('c', CAST(doc_id % 5 AS STRING)) AS column_name,
+    concat('text in ', lang) AS column_description,
+    CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN concat('text in ', lang)
+         ELSE 'free text' END AS value_description FROM documents),
+corpus AS (SELECT source AS db_id, lang AS table_name, concat('c', CAST(doc_id % 5 AS STRING)) AS column_name,
+    'value' AS row_kind, concat('v', CAST(doc_id AS STRING)) AS row_id,
+    {_LINE.format('text')} AS value, {_LINE.format('text')} AS search_text FROM documents
+  UNION ALL SELECT db_id, table_name, column_name, 'metadata',
+    concat('m', db_id, '.', table_name, '.', column_name), '',
+    concat_ws(' ', table_name, column_name, column_description, nullif(value_description, ''))
+  FROM info),
+tokens AS (SELECT *, {_TOKENS.format('search_text')} AS toks FROM corpus)"""
+_SCORES = """posting AS (SELECT db_id, row_id, len(toks) AS dl, term, count(*) AS tf FROM (
+    SELECT db_id, row_id, toks, unnest(toks) AS term FROM tokens) GROUP BY ALL),
+corpus_size AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM tokens),
+spread AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+weights AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
+    THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM spread, corpus_size),
+scores AS (SELECT q.question_id, p.row_id, round(-sum(w.idf * p.tf * 2.2e0
+    / (p.tf + 1.2e0 * (0.25e0 + 0.75e0 * p.dl / mean))), 9) AS score
+  FROM terms q JOIN posting p ON p.db_id = q.db_id AND p.term = q.term
+  JOIN weights w ON w.term = q.term, corpus_size GROUP BY 1, 2),
+hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS INTEGER)
+  AS hit_rank FROM scores QUALIFY hit_rank <= 512)"""
+_ROLLUP = """placed AS (SELECT h.*, c.table_name, c.column_name, c.row_kind, c.value, c.db_id
+    FROM hits h JOIN corpus c ON c.row_id = h.row_id),
+seen AS (SELECT question_id, table_name, column_name, value, min(hit_rank) AS hit_rank FROM placed
+    WHERE row_kind = 'value' AND value <> '' GROUP BY 1, 2, 3, 4),
+first_values AS (SELECT * FROM seen QUALIFY row_number() OVER (
+    PARTITION BY question_id, table_name, column_name ORDER BY hit_rank) <= 3),
+value_lists AS (SELECT question_id, table_name, column_name, list(value ORDER BY hit_rank) AS vs
+    FROM first_values GROUP BY 1, 2, 3),
+columns_ AS (SELECT p.question_id, p.db_id, p.table_name, p.column_name, min(score) AS score,
+    any_value(v.vs) AS vs FROM placed p LEFT JOIN value_lists v ON v.question_id = p.question_id
+    AND v.table_name = p.table_name AND v.column_name = p.column_name GROUP BY 1, 2, 3, 4)"""
+_TOP = """top_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id
+    ORDER BY score, table_name, column_name) AS INTEGER) AS position FROM columns_
+  QUALIFY position <= 8)"""
+_LINES = """lines AS (SELECT t.*, concat('- "', t.table_name, '"."', t.column_name, '": ',
+    concat_ws(' | ', i.column_description,
+      CASE WHEN i.value_description <> '' AND i.value_description <> i.column_description
+           THEN concat('value notes: ', i.value_description) END,
+      CASE WHEN len(t.vs) > 0 THEN concat('matched values: ', array_to_string(
+        [CAST(to_json(v) AS STRING) for v in t.vs], ', ')) END)) AS line
+  FROM top_ t JOIN info i ON i.db_id = t.db_id AND i.table_name = t.table_name
+    AND i.column_name = t.column_name)"""
+
+_SCOPE = ["db_id"]
+
+
+def _questions(t: Tables):
+    return t.benchmark.selectExpr(
+        "item_id AS question_id",
+        "concat('src', CAST(item_id % 20 AS STRING)) AS db_id",
+        "text AS question",
+        "CASE WHEN item_id % 3 = 0 THEN 'Show the c1_en _list_ of 7' ELSE '' END AS evidence",
+    )
+
+
+def _info(t: Tables):
+    return t.documents.selectExpr(
+        "source AS db_id",
+        "lang AS table_name",
+        "concat('c', CAST(doc_id % 5 AS STRING)) AS column_name",
+        "concat('text in ', lang) AS column_description",
+        "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN concat('text in ', lang) "
+        "ELSE 'free text' END AS value_description",
+        "'' AS data_format",
+    ).distinct()
+
+
+def _corpus(t: Tables):
+    line = text.one_line(F.col("text"))
+    values = t.documents.select(
+        F.col("source").alias("db_id"),
+        F.col("lang").alias("table_name"),
+        F.expr("concat('c', CAST(doc_id % 5 AS STRING))").alias("column_name"),
+        F.expr("concat('v', CAST(doc_id AS STRING))").alias("row_id"),
+        line.alias("value"),
+    )
+    parts = ["table_name", "column_name", "column_description", "value_description"]
+    metadata = _info(t).select(
+        "db_id", "table_name", "column_name",
+        F.concat(F.lit("m"), F.concat_ws(".", "db_id", "table_name", "column_name")).alias("row_id"),
+        index.column_search_text(parts).alias("search_text"),
+    )
+    return index.index_rows(metadata, values, ["db_id", "table_name", "column_name", "row_id"])
+
+
+def _terms(t: Tables):
+    return index.question_terms(_questions(t), "question_id", _SCOPE)
+
+
+def _hits(t: Tables):
+    return index.bm25(_terms(t), _corpus(t), "question_id", _SCOPE, "row_id", index.hit_limit())
+
+
+def _columns(t: Tables):
+    return index.column_hits(_hits(t), _corpus(t), "question_id", "row_id")
+
+
+def _digests():
+    return F.array_join(F.transform("matched_values", lambda v: F.md5(v)), ",").alias("value_digests")
+
+
+@query("e09_query_terms", with_(_QUESTIONS, _TERMS) + "SELECT * FROM terms")
+def _(t: Tables):
+    return _terms(t)
+
+
+@query(
+    "e10_bm25",
+    with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES)
+    + "SELECT question_id, row_id, round(score, 6) AS score, hit_rank FROM hits",
+)
+def _(t: Tables):
+    return _hits(t).withColumn("score", F.round("score", 6))
+
+
+_VALUE_DIGESTS = "coalesce(array_to_string([md5(v) for v in vs], ','), '') AS value_digests"
+
+
+@query(
+    "e11_column_rollup",
+    with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP)
+    + f"SELECT question_id, table_name, column_name, round(score, 6) AS score, {_VALUE_DIGESTS} FROM columns_",
+)
+def _(t: Tables):
+    return _columns(t).select(
+        "question_id", "table_name", "column_name", F.round("score", 6).alias("score"), _digests()
+    )
+
+
+@query(
+    "e12_top_columns",
+    with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP, _TOP)
+    + "SELECT question_id, position, table_name, column_name, round(score, 6) AS score FROM top_",
+)
+def _(t: Tables):
+    return index.top_columns(_columns(t), "question_id").select(
+        "question_id", "position", "table_name", "column_name", F.round("score", 6).alias("score")
+    )
+
+
+def _lines(t: Tables):
+    top = index.top_columns(_columns(t), "question_id")
+    scoped = top.join(_questions(t).select("question_id", "db_id"), "question_id")
+    return index.enrich(scoped, _info(t), _SCOPE)
+
+
+_ALL = with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP, _TOP, _LINES)
+
+
+@query("e13_grounding_lines", _ALL + "SELECT question_id, position, md5(line) AS line_digest FROM lines")
+def _(t: Tables):
+    return _lines(t).select("question_id", "position", F.md5("line").alias("line_digest"))
+
+
+@query(
+    "e14_coverage",
+    _ALL
+    + """, per AS (SELECT question_id, count(*) AS nc, sum(coalesce(len(vs), 0)) AS nv FROM top_ GROUP BY 1)
+SELECT CASE WHEN q.question_id % 2 = 0 THEN 'train' ELSE 'dev' END AS split, count(*) AS sample_count,
+  count(DISTINCT q.db_id) AS database_count, count(*) FILTER (coalesce(nc, 0) > 0) AS samples_with_grounding,
+  count(*) FILTER (coalesce(nc, 0) = 0) AS samples_without_grounding,
+  CAST(coalesce(sum(nc), 0) AS BIGINT) AS retrieved_column_count,
+  CAST(coalesce(sum(nv), 0) AS BIGINT) AS matched_value_count,
+  coalesce(max(nc), 0) AS maximum_columns_per_sample,
+  CAST(coalesce(max(nv), 0) AS BIGINT) AS maximum_values_per_sample
+FROM questions q LEFT JOIN per p ON p.question_id = q.question_id GROUP BY 1""",
+)
+def _(t: Tables):
+    samples = _questions(t).withColumn(
+        "split", F.expr("CASE WHEN question_id % 2 = 0 THEN 'train' ELSE 'dev' END")
+    )
+    hits = index.top_columns(_columns(t), "question_id")
+    return index.coverage(samples, hits, "question_id", "split")
+
+
+@query(
+    "f07_grounded_dataset",
+    _ALL
+    + """, grounded AS (SELECT question_id, string_agg(line, chr(10) ORDER BY position) AS block
+    FROM lines GROUP BY 1)
+SELECT q.question_id, q.db_id, md5(concat('Database schema:', chr(10), 'TABLE "', q.db_id, '"',
+  CASE WHEN g.block IS NULL THEN '' ELSE concat(chr(10), chr(10), 'Relevant database information:',
+  chr(10), g.block) END, CASE WHEN q.evidence <> '' THEN concat(chr(10), chr(10), 'Evidence:',
+  chr(10), q.evidence) ELSE '' END, chr(10), chr(10), 'Question:', chr(10), trim(q.question)))
+  AS prompt_digest FROM questions q LEFT JOIN grounded g ON g.question_id = q.question_id""",
+)
+def _(t: Tables):
+    samples = _questions(t).withColumn("gold_sql", F.lit("SELECT 1"))
+    schemas = _questions(t).select("db_id").distinct().withColumn(
+        "schema", F.concat(F.lit('TABLE "'), "db_id", F.lit('"'))
+    )
+    records = datasets.build_grounded(samples, schemas, _lines(t), "question_id")
+    return records.select(
+        "question_id", "db_id",
+        F.md5(F.element_at("prompt", 2)["content"]).alias("prompt_digest"),
+    )
