@@ -132,8 +132,8 @@ def _(t: Tables):
 
 
 _KNOWN = (
-    "known AS (SELECT DISTINCT concat('db_', CAST(c_custkey % 69 AS STRING)) AS db_id, "
-    "c_custkey % 69 % 5 <> 0 AS available FROM customer WHERE c_custkey % 69 % 9 <> 0)"
+    "known AS (SELECT DISTINCT concat('db_', CAST(c_nationkey AS STRING)) AS db_id, "
+    "c_nationkey % 5 <> 0 AS available FROM customer)"
 )
 
 
@@ -149,8 +149,8 @@ FROM gold g LEFT JOIN known k ON k.db_id = g.db_id""",
 )
 def _(t: Tables):
     gold = inputs.gold(t)
-    known = t.customer.where("c_custkey % 69 % 9 <> 0").selectExpr(
-        "concat('db_', CAST(c_custkey % 69 AS STRING)) AS db_id", "c_custkey % 69 % 5 <> 0 AS available"
+    known = t.customer.selectExpr(
+        "concat('db_', CAST(c_nationkey AS STRING)) AS db_id", "c_nationkey % 5 <> 0 AS available"
     ).distinct()
     samples = gold.selectExpr("sample_id", "db_id", "gold_sql AS sql")
     outcomes = gold.selectExpr(

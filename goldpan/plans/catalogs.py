@@ -219,13 +219,13 @@ _THEIRS = (
     f"WHEN 4 THEN concat('é', {_KEY}) ELSE concat('nAME_', {_KEY}) END AS name"
 )
 _CLASH = f"concat('Name_', {_KEY}) AS name"
-_LIVE = f"SELECT p_brand AS scope, {_THEIRS} FROM part UNION ALL SELECT p_brand, {_CLASH} FROM part WHERE p_size % 9 = 0"
+_LIVE = f"SELECT p_brand AS scope, {_THEIRS} FROM part UNION ALL SELECT p_brand, {_CLASH} FROM part WHERE p_type = 'ECONOMY'"
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _live(t: Tables):
     return t.part.selectExpr("p_brand AS scope", _THEIRS).unionByName(
-        t.part.where("p_size % 9 = 0").selectExpr("p_brand AS scope", _CLASH)
+        t.part.where("p_type = 'ECONOMY'").selectExpr("p_brand AS scope", _CLASH)
     )
 
 
@@ -465,7 +465,7 @@ _REPEATS[3] = "'later note' AS column_description"
 _REPEATS[6] = "ordinal + 1 AS row_ordinal"
 _DESCRIBED_SQL = (
     f"described AS (SELECT {', '.join(_DESCRIBED)} FROM catalog UNION ALL "
-    f"SELECT {', '.join(_REPEATS)} FROM catalog WHERE part_ref % 6 = 0)"
+    f"SELECT {', '.join(_REPEATS)} FROM catalog WHERE declared_type = 'date')"
 )
 _MAPPED = """tabs AS (SELECT DISTINCT db_id, table_name, table_ordinal FROM catalog),
 exact AS (SELECT DISTINCT t.db_id, t.table_name, d.file FROM tabs t JOIN described d
@@ -484,7 +484,7 @@ mapped AS (SELECT *, 'name' AS how FROM exact UNION ALL
 def _described(t: Tables):
     columns = inputs.catalog(t)
     return columns.selectExpr(*_DESCRIBED).unionByName(
-        columns.where("part_ref % 6 = 0").selectExpr(*_REPEATS)
+        columns.where("declared_type = 'date'").selectExpr(*_REPEATS)
     )
 
 
