@@ -120,6 +120,11 @@ def _index(pair: Column) -> Column:
     return pair[0].cast("int")
 
 
+def _at(items: Column | str, index: Column) -> Column:
+    """Element at a 0-based index; null outside of the array."""
+    return F.try_element_at(items, F.nullif(index + 1, F.lit(0)))
+
+
 def metadata_issues(parsed: DataFrame, key: str) -> DataFrame:
     """Rules a metadata document breaks: (key, rule)."""
     originals, shown = F.col("column_names_original"), F.col("column_names")
@@ -156,14 +161,14 @@ def metadata_columns(parsed: DataFrame, key: str) -> DataFrame:
     rows = parsed.select(
         key, "db_id", "table_names_original", "table_names", F.posexplode(zipped).alias("column_index", "c")
     ).where(F.col("column_index") > 0)
-    at = _index(F.col("c.o")) + 1
+    at = _index(F.col("c.o"))
     return rows.select(
         key,
         "db_id",
         "column_index",
-        (at - 1).alias("table_index"),
-        F.try_element_at("table_names_original", at).alias("table_name"),
-        F.try_element_at("table_names", at).alias("table_display"),
+        at.alias("table_index"),
+        _at("table_names_original", at).alias("table_name"),
+        _at("table_names", at).alias("table_display"),
         F.col("c.o")[1].alias("column_name"),
         F.col("c.d")[1].alias("column_display"),
         F.col("c.t").alias("declared_type"),
@@ -179,7 +184,7 @@ def metadata_primary_keys(parsed: DataFrame, key: str) -> DataFrame:
     )
     inside = F.forall("columns", lambda i: (i > 0) & (i < F.size(originals)))
     owners = F.array_distinct(
-        F.transform("columns", lambda i: F.try_element_at(originals, i + 1)[0])
+        F.transform("columns", lambda i: _at(originals, i)[0])
     )
     issue = (
         F.when(F.size("columns") == 0, "empty_key")
@@ -187,8 +192,8 @@ def metadata_primary_keys(parsed: DataFrame, key: str) -> DataFrame:
         .when(~inside, "column_out_of_range")
         .when(F.size(owners) != 1, "columns_in_several_tables")
     )
-    names = F.transform("columns", lambda i: F.try_element_at(originals, i + 1)[1])
-    table = F.try_element_at("table_names_original", F.element_at(owners, 1).cast("int") + 1)
+    names = F.transform("columns", lambda i: _at(originals, i)[1])
+    table = _at("table_names_original", F.try_element_at(owners, F.lit(1)).cast("int"))
     return rows.withColumn("issue", issue).select(
         key,
         "db_id",
@@ -203,36 +208,42 @@ def metadata_foreign_keys(parsed: DataFrame, key: str) -> DataFrame:
     """Resolved foreign keys, repeats dropped, and the rule a bad one breaks."""
     originals = F.col("column_names_original")
     names = F.col("table_names_original")
-    rows = parsed.select(
-        key, "db_id", "column_names_original", "table_names_original",
-        F.posexplode("foreign_keys").alias("key_ordinal", "pair"),
-    )
 
     def inside(i: Column) -> Column:
         return (i > 0) & (i < F.size(originals))
 
     def end(i: Column, role: str) -> list[Column]:
-        column = F.try_element_at(originals, i + 1)
-        table = F.try_element_at(names, column[0].cast("int") + 1)
+        column = _at(originals, i)
+        table = _at(names, column[0].cast("int"))
         return [table.alias(f"{role}_table"), column[1].alias(f"{role}_column")]
 
+    def resolve(pair: Column) -> Column:
+        return F.struct(*end(pair[0], "source"), *end(pair[1], "target"))
+
+    # A document holds its own keys, so repeats are found inside the row, without a shuffle.
+    rows = parsed.select(
+        key, "db_id", "column_names_original",
+        F.transform("foreign_keys", resolve).alias("_ends"), "foreign_keys",
+    ).select(
+        key, "db_id", "column_names_original", "_ends",
+        F.posexplode("foreign_keys").alias("key_ordinal", "pair"),
+    )
     source, target = F.col("pair")[0], F.col("pair")[1]
     issue = (
         F.when(F.size("pair") != 2, "not_a_pair")
         .when(~inside(source), "source_out_of_range")
         .when(~inside(target), "target_out_of_range")
     )
+    here = F.col("_ends")[F.col("key_ordinal")]
+    first = F.array_position("_ends", here) == F.col("key_ordinal") + 1
+    judged = rows.select(
+        key, "db_id", "key_ordinal", here.alias("_end"), issue.alias("issue"), first.alias("_first")
+    ).where(F.col("issue").isNotNull() | F.col("_first"))
+    good = F.col("issue").isNull()
     ends = ["source_table", "source_column", "target_table", "target_column"]
-    resolved = rows.select(
-        key, "db_id", "key_ordinal", *end(source, "source"), *end(target, "target"),
-        issue.alias("issue"),
-    )
-    good = resolved.where(F.col("issue").isNull())
-    first = good.groupBy(key, "db_id", *ends).agg(F.min("key_ordinal").alias("key_ordinal"))
-    bad = resolved.where(F.col("issue").isNotNull()).select(
-        key, "db_id", *[F.lit(None).cast("string").alias(e) for e in ends], "key_ordinal", "issue"
+    return judged.select(
+        key, "db_id", *[F.when(good, F.col(f"_end.{e}")).alias(e) for e in ends], "key_ordinal", "issue"
     )
-    return first.withColumn("issue", F.lit(None).cast("string")).unionByName(bad)
 
 
 # ---- names -------------------------------------------------------------------------------
@@ -578,6 +589,8 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
     table whose best file no earlier open table could still take; few tables lack a named
     file, so few rounds are needed.
     """
+    columns = cut(columns.select("db_id", "table_name", "table_ordinal", "column_name"))
+    described = cut(described.select("db_id", "file", "original_column_name"))
     tables = columns.groupBy("db_id", "table_name").agg(
         F.min("table_ordinal").alias("table_ordinal")
     )

@@ -82,7 +82,8 @@ def scan_tables(
     ranked = first_per_group(
         near.drop("_distance", "_last"), COLUMN, [F.col("_key")], limit, "scan_order"
     )
-    return ranked.select(*COLUMN, "scan_order", "value")
+    # At most ``limit`` rows per column, read by several aggregates: kept once.
+    return cut(ranked.select(*COLUMN, "scan_order", "value"))
 
 
 def bounded_scan(
@@ -171,20 +172,26 @@ def index_rows(metadata: DataFrame, values: DataFrame, keys: Sequence[str]) -> D
 
 
 def postings(
-    rows: DataFrame, row_keys: Sequence[str], only_terms: DataFrame | None = None
+    rows: DataFrame, row_keys: Sequence[str], only_terms: DataFrame | None = None,
+    with_totals: bool = False,
 ) -> DataFrame:
     """(row keys, row_length, term, tf), restricted to ``only_terms`` when given.
 
     Spark counts the terms of a row inside the task that reads it, so the shuffle carries
-    one record per distinct term of a row.
+    one record per distinct term of a row. ``with_totals`` adds one record per row under the
+    empty term, which keeps the lengths of rows that match nothing.
     """
-    tokens = text.search_tokens(F.col("search_text"))
+    tokens = F.col("_tokens")
+    terms = F.concat(tokens, F.array(F.lit(""))) if with_totals else tokens
     long = (
-        rows.withColumn("_tokens", tokens)
-        .select(*row_keys, F.size("_tokens").alias("row_length"), F.explode("_tokens").alias("term"))
+        rows.withColumn("_tokens", text.search_tokens(F.col("search_text")))
+        .select(*row_keys, F.size("_tokens").alias("row_length"), F.explode(terms).alias("term"))
     )
     if only_terms is not None:
-        long = long.join(only_terms.select("term").distinct(), "term", "left_semi")
+        wanted = only_terms.select("term").distinct()
+        if with_totals:
+            wanted = wanted.union(rows.sparkSession.range(1).select(F.lit("")))
+        long = long.join(wanted, "term", "left_semi")
     return long.groupBy(*row_keys, "row_length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -201,13 +208,16 @@ def bm25(
 
     Statistics cover the whole index; matches stay inside the question's scope. Scores are
     negated, so smaller is better, and rounded so that the order of a distributed sum does
-    not change the ranking.
+    not change the ranking. The texts are read and split once; what is kept of them, the
+    postings of the asked terms and one length per row, is materialised.
     """
-    size = F.size(text.search_tokens(F.col("search_text")))
-    total = rows.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
+    counted = cut(postings(rows, [*scope, row_id], terms, with_totals=True))
+    found = counted.where(F.col("term") != "")
+    total = counted.where(F.col("term") == "").agg(
+        F.count("*").alias("n"), F.avg("row_length").alias("mean")
+    )
     count = total.select("n").scalar()
     mean = total.select("mean").scalar()
-    found = postings(rows, [*scope, row_id], terms)
     spread = found.groupBy("term").agg(F.count("*").alias("_rows"))
     idf = F.log((count - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
     weights = spread.select(

@@ -130,9 +130,13 @@ def folded(items: Column) -> Column:
     return F.array_distinct(F.transform(items, lambda x: F.lower(x)))
 
 
-def array_f1(predicted: Column, gold: Column) -> Column:
-    overlap = F.size(F.array_intersect(predicted, gold))
-    return set_f1(overlap, F.size(predicted), F.size(gold))
+def with_access_f1(df: DataFrame, predicted: str, gold: str, name: str) -> DataFrame:
+    """Fold two access-trace arrays and add the F1 of the two sets."""
+    sized = df.withColumns({c: folded(F.col(c)) for c in (predicted, gold)}).withColumn(
+        "_overlap", F.size(F.array_intersect(predicted, gold))
+    )
+    f1 = set_f1(F.col("_overlap"), F.size(predicted), F.size(gold))
+    return sized.withColumn(name, f1).drop("_overlap")
 
 
 def partial_score(

@@ -44,8 +44,14 @@ def _clusters(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _baseline() -> Column:
+    """Index of the first greedy candidate, or of the first one when none is greedy."""
+    return F.coalesce(F.min("_any_greedy"), F.min("_any_first")).alias("baseline_index")
+
+
 def result_vote(
-    candidates: DataFrame, keys: Sequence[str], minimum_support: int = 2
+    candidates: DataFrame, keys: Sequence[str], minimum_support: int = 2,
+    with_baseline: bool = False,
 ) -> DataFrame:
     """One row per sample: chosen index, support, cluster and executable counts, reason.
 
@@ -54,7 +60,8 @@ def result_vote(
     unique largest cluster with enough support wins; otherwise the greedy candidate keeps
     its cluster where it can, and the mean log-probability decides the rest. Mean
     log-probabilities are compared to 12 places so that the summation order of a
-    distributed sum cannot change a decision.
+    distributed sum cannot change a decision. ``with_baseline`` adds the index of the first
+    greedy candidate (of the first candidate when there is none).
     """
     by_size = (
         _clusters(candidates, keys)
@@ -71,6 +78,8 @@ def result_vote(
                     F.col("greedy_index").isNotNull(), F.struct("greedy_index", "size", "best")
                 )
             ).alias("greedy"),
+            F.min("greedy_index").alias("_any_greedy"),
+            F.min("first_index").alias("_any_first"),
         )
     )
     per_tier = by_size.groupBy(*keys, "tier").agg(
@@ -78,12 +87,15 @@ def result_vote(
         F.min("greedy").alias("greedy"),
         F.sum("ties").alias("cluster_count"),
         F.sum(F.col("size") * F.col("ties")).alias("members"),
+        F.min("_any_greedy").alias("_any_greedy"),
+        F.min("_any_first").alias("_any_first"),
     )
     voters = per_tier.groupBy(*keys).agg(
         F.max(F.struct("tier", "top", "greedy", "cluster_count")).alias("v"),
         F.coalesce(F.sum(F.when(F.col("tier") > 0, F.col("members"))), F.lit(0)).alias(
             "executable_count"
         ),
+        _baseline(),
     )
     top, greedy = F.col("v.top"), F.col("v.greedy")
     enough = top["size"] >= minimum_support
@@ -115,6 +127,7 @@ def result_vote(
         "executable_count",
         used.alias("used_vote"),
         "reason",
+        *(["baseline_index"] if with_baseline else []),
     )
 
 
@@ -171,25 +184,19 @@ def pass_k_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     The greedy candidate stands in when nothing could be executed; a sample without one
     uses its first candidate.
     """
-    first = scored.groupBy(*keys).agg(
-        F.coalesce(
-            F.min(F.when(F.col("is_greedy"), F.col("candidate_index"))), F.min("candidate_index")
-        ).alias("_first")
-    )
-    vote = result_vote(scored, keys).select(*keys, "chosen_index", "reason", "support")
-    both = first.join(vote, list(keys))
+    both = result_vote(scored, keys, with_baseline=True)
     picks = both.select(
         *keys,
         F.inline(
             F.array(
                 F.struct(
                     F.lit("greedy").alias("system"),
-                    F.col("_first").alias("candidate_index"),
+                    F.col("baseline_index").alias("candidate_index"),
                     F.lit(None).cast("string").alias("vote_reason"),
                 ),
                 F.struct(
                     F.lit("vote").alias("system"),
-                    F.coalesce("chosen_index", "_first").alias("candidate_index"),
+                    F.coalesce("chosen_index", "baseline_index").alias("candidate_index"),
                     F.col("reason").alias("vote_reason"),
                 ),
             )

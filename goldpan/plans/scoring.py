@@ -53,8 +53,8 @@ def _(t: Tables):
 
 
 _ACCESS = (
-    "o_orderkey AS source_index, "
-    "concat(o_orderstatus, ',Orders,', o_orderpriority, ',ORDERS') AS predicted_names, "
+    "o_orderkey AS source_index",
+    "concat(o_orderstatus, ',Orders,', o_orderpriority, ',ORDERS') AS predicted_names",
     "concat(lower(o_orderstatus), ',orders,', CASE WHEN o_orderkey % 2 = 0 THEN '1-URGENT' "
     "ELSE 'customer' END) AS gold_names"
 )
@@ -62,7 +62,7 @@ _ACCESS = (
 
 @query(
     "g03_access_sets",
-    f"""WITH a AS (SELECT {_ACCESS} FROM orders)
+    f"""WITH a AS (SELECT {', '.join(_ACCESS)} FROM orders)
 SELECT source_index,
   array_to_string(list_sort(list_distinct(string_split(lower(predicted_names), ','))), ',')
     AS predicted_set,
@@ -74,29 +74,17 @@ SELECT source_index,
 FROM a""",
 )
 def _(t: Tables):
-    predicted = scoring.folded(F.split("predicted_names", ","))
-    gold = scoring.folded(F.split("gold_names", ","))
-    rows = t.orders.selectExpr(*_split_top(_ACCESS))
-    return rows.select(
+    rows = t.orders.selectExpr(*_ACCESS).select(
         "source_index",
-        F.array_join(F.array_sort(predicted), ",").alias("predicted_set"),
-        F.array_join(F.array_sort(gold), ",").alias("gold_set"),
-        F.round(scoring.array_f1(predicted, gold), 6).alias("f1"),
+        F.split("predicted_names", ",").alias("predicted"),
+        F.split("gold_names", ",").alias("gold"),
+    )
+    return scoring.with_access_f1(rows, "predicted", "gold", "f1").select(
+        "source_index",
+        F.array_join(F.array_sort("predicted"), ",").alias("predicted_set"),
+        F.array_join(F.array_sort("gold"), ",").alias("gold_set"),
+        F.round("f1", 6).alias("f1"),
     )
-
-
-def _split_top(text: str) -> list[str]:
-    """Split a select list at its top-level commas."""
-    parts, depth, quoted, start = [], 0, False, 0
-    for i, ch in enumerate(text):
-        if ch == "'":
-            quoted = not quoted
-        elif not quoted and ch in "()":
-            depth += 1 if ch == "(" else -1
-        elif ch == "," and not quoted and depth == 0:
-            parts.append(text[start:i].strip())
-            start = i + 1
-    return [*parts, text[start:].strip()]
 
 
 @query(

@@ -58,3 +58,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer input splits than the session has cores.
+
+    For small files with costly expressions on top. A scan of many files is left alone.
+    Call it on a plain scan: it only looks at the planned splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
