@@ -609,10 +609,9 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
     )
     open_tables = tables.join(exact, ["db_id", "table_name"], "left_anti")
     wanted = (
-        columns.join(open_tables.select("db_id", "table_name"), ["db_id", "table_name"], "left_semi")
-        .select("db_id", "table_name", text.casefold(F.col("column_name")).alias("_column"))
-        .distinct()
+        columns.select("db_id", "table_name", text.casefold(F.col("column_name")).alias("_column"))
         .join(open_tables, ["db_id", "table_name"])
+        .distinct()
     )
     offered = (
         described.join(exact.select("db_id", "file"), ["db_id", "file"], "left_anti")

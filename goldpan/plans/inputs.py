@@ -91,8 +91,8 @@ _CANDIDATES = [
     ("l_orderkey", "source_index"),
     (padded("l_orderkey"), "sample_id"),
     (
-        "l_linenumber * CAST(1000000000000000 AS BIGINT) + l_partkey * CAST(10000000 AS BIGINT) "
-        "+ l_suppkey * CAST(100 AS BIGINT) + CAST(l_quantity AS BIGINT)",
+        "l_linenumber * CAST(100000000000000000 AS BIGINT) + l_partkey * CAST(1000000000 AS BIGINT) "
+        "+ CAST(round(l_extendedprice * 100) AS BIGINT)",
         "candidate_index",
     ),
     ("l_linenumber = 1", "is_greedy"),
@@ -197,8 +197,8 @@ _CATALOG = [
         "table_display",
     ),
     (
-        "l_linenumber * CAST(1000000000000000 AS BIGINT) + l_partkey * CAST(10000000 AS BIGINT) "
-        "+ l_suppkey * CAST(100 AS BIGINT) + CAST(l_quantity AS BIGINT)",
+        "l_linenumber * CAST(100000000000000000 AS BIGINT) + l_partkey * CAST(1000000000 AS BIGINT) "
+        "+ CAST(round(l_extendedprice * 100) AS BIGINT)",
         "ordinal",
     ),
     (

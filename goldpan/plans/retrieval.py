@@ -320,10 +320,10 @@ def _(t: Tables):
 @query(
     "e10_bm25",
     with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES)
-    + "SELECT question_id, row_id, round(score, 6) AS score, hit_rank FROM hits",
+    + "SELECT question_id, row_id, score, hit_rank FROM hits",
 )
 def _(t: Tables):
-    return _hits(t).withColumn("score", F.round("score", 6))
+    return _hits(t)
 
 
 _VALUE_DIGESTS = "coalesce(array_to_string([md5(v) for v in vs], ','), '') AS value_digests"
@@ -332,22 +332,22 @@ _VALUE_DIGESTS = "coalesce(array_to_string([md5(v) for v in vs], ','), '') AS va
 @query(
     "e11_column_rollup",
     with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP)
-    + f"SELECT question_id, table_name, column_name, round(score, 6) AS score, {_VALUE_DIGESTS} FROM columns_",
+    + f"SELECT question_id, table_name, column_name, score, {_VALUE_DIGESTS} FROM columns_",
 )
 def _(t: Tables):
     return _columns(t).select(
-        "question_id", "table_name", "column_name", F.round("score", 6).alias("score"), _digests()
+        "question_id", "table_name", "column_name", "score", _digests()
     )
 
 
 @query(
     "e12_top_columns",
     with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP, _TOP)
-    + "SELECT question_id, position, table_name, column_name, round(score, 6) AS score FROM top_",
+    + "SELECT question_id, position, table_name, column_name, score FROM top_",
 )
 def _(t: Tables):
     return index.top_columns(_columns(t), "question_id").select(
-        "question_id", "position", "table_name", "column_name", F.round("score", 6).alias("score")
+        "question_id", "position", "table_name", "column_name", "score"
     )
 
 

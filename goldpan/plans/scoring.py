@@ -111,10 +111,10 @@ SELECT pair, ok AS executable,
   CASE WHEN ok THEN ex ELSE 0 END AS official_ex,
   round(CASE WHEN NOT ok THEN 0.0 WHEN ex = 1 THEN 1.0 ELSE least(0.55,
     0.1 + 0.1 * tf + 0.15 * cf + 0.05 * CAST(pc = gc AS INTEGER)
-    + 0.05 * CAST(rp = rg AS INTEGER) + 0.15 * jac) END, 6) AS screening_score,
+    + 0.05 * CAST(rp = rg AS INTEGER) + 0.15 * jac) END, 8) AS screening_score,
   CASE WHEN ok AND pc = gc THEN 1 ELSE 0 END AS column_count_match,
   CASE WHEN ok AND rp = rg THEN 1 ELSE 0 END AS row_count_match,
-  round(CASE WHEN ok THEN jac ELSE 0.0 END, 6) AS result_jaccard
+  round(CASE WHEN ok THEN jac ELSE 0.0 END, 8) AS result_jaccard
 FROM base""",
 )
 def _(t: Tables):
@@ -134,10 +134,10 @@ def _(t: Tables):
         "pair",
         (F.col("status") == "success").alias("executable"),
         "official_ex",
-        F.round("screening_score", 6).alias("screening_score"),
+        "screening_score",
         "column_count_match",
         "row_count_match",
-        F.round("result_jaccard", 6).alias("result_jaccard"),
+        "result_jaccard",
     )
 
 

@@ -48,9 +48,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise as a table in the shared folder, so that a lost executor costs no
+    recomputation and later plans know the real size and read only the columns they need."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
