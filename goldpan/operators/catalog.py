@@ -585,9 +585,9 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
 
     ``columns`` is the catalog; ``described`` has db_id, file and original_column_name. A
     file whose name equals the table's wins. The other tables take, in table order, the
-    unused file that shares most column names, if that file is unique. A round settles every
-    table whose best file no earlier open table could still take; few tables lack a named
-    file, so few rounds are needed.
+    unused file that shares most column names, if that file is unique; a table that cannot
+    choose gets none. A round settles every table whose choice no earlier open table can
+    still change; few tables lack a named file, so few rounds are needed.
     """
     columns = cut(columns.select("db_id", "table_name", "table_ordinal", "column_name"))
     described = cut(described.select("db_id", "file", "original_column_name"))
@@ -625,25 +625,34 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
         .agg(F.count("*").alias("score"))
     )
     result = exact
+    table = ["db_id", "table_name", "table_ordinal"]
     while not pending.isEmpty():
-        by_score = pending.groupBy("db_id", "table_name", "table_ordinal", "score").agg(
-            F.count("*").alias("ties"), F.min("file").alias("file")
-        )
-        best = by_score.groupBy("db_id", "table_name", "table_ordinal").agg(
-            F.max(F.struct("score", "ties", "file")).alias("_b")
-        ).where(F.col("_b.ties") == 1).select("db_id", "table_name", "table_ordinal", "_b.file")
         claims = pending.groupBy("db_id", "file").agg(F.min("table_ordinal").alias("_first"))
+        open_now = pending.join(claims, ["db_id", "file"]).withColumn(
+            "_free", F.col("table_ordinal") == F.col("_first")
+        )
+        by_score = open_now.groupBy(*table, "score").agg(
+            F.count("*").alias("ties"), F.min("file").alias("file"), F.bool_and("_free").alias("free")
+        )
+        best = by_score.groupBy(*table).agg(
+            F.max(F.struct("score", "ties", "file", "free")).alias("b"),
+            F.bool_and("free").alias("_all_free"),
+        )
+        # Settled: one best file that no earlier table can take, or a tie that no earlier
+        # table can break. The first open table of a database is always settled.
+        taken = (F.col("b.ties") == 1) & F.col("b.free")
+        tied = (F.col("b.ties") > 1) & F.col("_all_free")
         settled = cut(
-            best.join(claims, ["db_id", "file"])
-            .where(F.col("table_ordinal") == F.col("_first"))
-            .select("db_id", "table_name", "file", F.lit("overlap").alias("how"))
+            best.where(taken | tied).select(
+                "db_id", "table_name", F.when(taken, F.col("b.file")).alias("file"),
+                F.lit("overlap").alias("how"),
+            )
         )
-        if settled.isEmpty():
-            break
-        result = result.unionByName(settled)
+        mapped = settled.where(F.col("file").isNotNull())
+        result = result.unionByName(mapped)
         pending = cut(
             pending.join(settled, ["db_id", "table_name"], "left_anti").join(
-                settled, ["db_id", "file"], "left_anti"
+                mapped, ["db_id", "file"], "left_anti"
             )
         )
     return result

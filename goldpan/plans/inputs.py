@@ -202,12 +202,13 @@ _CATALOG = [
         "ordinal",
     ),
     (
-        "concat('col_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING))",
+        "concat('col_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', "
+        "CAST(o_orderkey AS STRING))",
         "column_name",
     ),
     (
         "CASE WHEN l_returnflag = 'N' THEN concat('col_', CAST(l_linenumber AS STRING), '_', "
-        "CAST(l_partkey AS STRING)) ELSE concat('part  ', CAST(l_partkey AS STRING)) END",
+        "CAST(l_partkey AS STRING), '_', CAST(o_orderkey AS STRING)) ELSE concat('part  ', CAST(l_partkey AS STRING)) END",
         "column_display",
     ),
     (
@@ -234,7 +235,7 @@ CATALOG_FK = """catalog_fk AS (
          table_name AS source_table, column_name AS source_column,
          table_name AS target_table,
          CASE WHEN part_ref % 2 = 0 THEN column_name
-              ELSE concat('col_1_', CAST(part_ref AS STRING)) END AS target_column
+              ELSE concat('col_1_', CAST(part_ref AS STRING), '_', CAST(table_ordinal AS STRING)) END AS target_column
   FROM catalog WHERE is_foreign_key)"""
 
 
@@ -244,7 +245,7 @@ def catalog_fk(t: Tables) -> DataFrame:
         "table_name AS source_table", "column_name AS source_column",
         "table_name AS target_table",
         "CASE WHEN part_ref % 2 = 0 THEN column_name "
-        "ELSE concat('col_1_', CAST(part_ref AS STRING)) END AS target_column",
+        "ELSE concat('col_1_', CAST(part_ref AS STRING), '_', CAST(table_ordinal AS STRING)) END AS target_column",
     )
 
 

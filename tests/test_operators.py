@@ -285,6 +285,29 @@ def test_description_files_go_in_table_order(spark):
     assert got == {("Named", "named", "name"), ("one", "f1", "overlap"), ("two", "f2", "overlap")}
 
 
+def test_description_files_against_a_plain_loop(spark):
+    rng = random.Random(11)
+    names, described, expected = [], [], set()
+    for db in range(40):
+        tables = [(f"t{i}", {f"c{rng.randint(0, 5)}" for _ in range(3)}) for i in range(rng.randint(1, 6))]
+        files_ = {f"f{i}": {f"c{rng.randint(0, 5)}" for _ in range(3)} for i in range(rng.randint(1, 7))}
+        names += [(f"d{db}", t, i, c) for i, (t, cols) in enumerate(tables) for c in cols]
+        described += [(f"d{db}", f, c) for f, cols in files_.items() for c in cols]
+        left = dict(files_)
+        for t, cols in tables:
+            scores = {f: len(cols & other) for f, other in left.items()}
+            top = max(scores.values(), default=0)
+            best = [f for f, x in scores.items() if x == top and x > 0]
+            if len(best) == 1:
+                expected.add((f"d{db}", t, best[0]))
+                del left[best[0]]
+    got = catalog.map_description_files(
+        spark.createDataFrame(names, "db_id string, table_name string, table_ordinal int, column_name string"),
+        spark.createDataFrame(described, "db_id string, file string, original_column_name string"),
+    )
+    assert {(r["db_id"], r["table_name"], r["file"]) for r in got.collect()} == expected
+
+
 def test_guard(spark):
     cases = {
         "SELECT 1": "ok",
