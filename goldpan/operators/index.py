@@ -208,30 +208,67 @@ def bm25(
 
     Statistics cover the whole index; matches stay inside the question's scope. Scores are
     negated, so smaller is better, and rounded so that the order of a distributed sum does
-    not change the ranking. The texts are read and split once; what is kept of them, the
-    postings of the asked terms and one length per row, is materialised.
+    not change the ranking.
+
+    Copies cost nothing extra: questions with the same terms are scored once, and so are
+    index rows with the same text. The best texts are then given back their rows, of which
+    at most ``n`` per text can be among the best. Texts are split once; what is kept of
+    them, the postings of the asked terms and one length per text, is materialised.
     """
-    counted = cut(postings(rows, [*scope, row_id], terms, with_totals=True))
-    found = counted.where(F.col("term") != "")
-    total = counted.where(F.col("term") == "").agg(
-        F.count("*").alias("n"), F.avg("row_length").alias("mean")
-    )
-    count = total.select("n").scalar()
-    mean = total.select("mean").scalar()
-    spread = found.groupBy("term").agg(F.count("*").alias("_rows"))
-    idf = F.log((count - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
+    scope = list(scope)
+    by_text = [*scope, "_text1", "_text2"]
+    same = F.array_sort(F.collect_set("term"))
+    asked = terms.groupBy(key, *scope).agg(same.alias("_terms")).withColumn(
+        "_query", F.md5(F.concat_ws("\n", *scope, F.array_join("_terms", " ")))
+    )
+    asked = cut(asked)
+    queries = asked.select("_query", *scope, F.explode("_terms").alias("term")).distinct()
+
+    keyed = rows.withColumns(
+        {"_text1": F.xxhash64("search_text"), "_text2": F.xxhash64(F.lit(1), "search_text")}
+    )
+    counted = cut(postings(keyed, by_text, queries, with_totals=True))
+    texts = counted.where(F.col("term") == "").select(
+        *by_text, "row_length", F.col("tf").alias("_copies")
+    )
+    size = F.sum("_copies")
+    total = texts.agg(
+        F.struct(
+            size.alias("n"), (F.sum(F.col("_copies") * F.col("row_length")) / size).alias("mean")
+        )
+    ).scalar()
+    found = (
+        counted.where(F.col("term") != "")
+        .join(texts.select(*by_text, "_copies"), by_text)
+        .withColumn("tf", F.col("tf") / F.col("_copies"))
+    )
+    spread = found.groupBy("term").agg(F.sum("_copies").alias("_rows"))
+    idf = F.log((total["n"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
     weights = spread.select(
         "term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("_idf")
     )
-    weighted = terms.join(weights, "term")
-    saturation = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("row_length") / mean)
+    saturation = F.col("tf") + BM25_K1 * (
+        1 - BM25_B + BM25_B * F.col("row_length") / total["mean"]
+    )
     part = F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / saturation
     scores = (
-        found.join(weighted, [*scope, "term"])
-        .groupBy(key, row_id)
+        found.join(queries.join(weights, "term"), [*scope, "term"])
+        .groupBy("_query", *by_text)
         .agg(F.round(-F.sum(part), HIT_SCORE_DIGITS).alias("score"))
     )
-    return top_per_group(scores, [key], [F.col("score"), F.col(row_id)], n, "hit_rank")
+    # rank() keeps every text that ties at the border, so no row that belongs is lost.
+    place = F.rank().over(Window.partitionBy("_query").orderBy("score"))
+    best = cut(scores.withColumn("_place", place).where(F.col("_place") <= n).drop("_place"))
+    holders = keyed.select(*by_text, row_id).join(
+        best.select(*by_text).distinct(), by_text, "left_semi"
+    )
+    first_rows = top_per_group(holders, by_text, [F.col(row_id)], n).drop("rank")
+    ranked = top_per_group(
+        best.join(first_rows, by_text), ["_query"], [F.col("score"), F.col(row_id)], n, "hit_rank"
+    )
+    return asked.select(key, "_query").join(ranked, "_query").select(
+        key, row_id, "score", "hit_rank"
+    )
 
 
 def hit_limit(top_columns: int = TOP_COLUMNS) -> int:

@@ -122,11 +122,13 @@ def latency_report(requests: DataFrame, elapsed_seconds: float) -> DataFrame:
             "mean_execution_ms"
         ),
     )
-    picked = values_at(requests, "total_ms", (50, 95, 99))
-    for p in (50, 95, 99):
-        value = picked.where(F.col("percentile") == p).agg(F.max("total_ms")).scalar()
-        base = base.withColumn(f"latency_p{p}_ms", F.coalesce(value, F.lit(0.0)))
-    return base
+    picked = values_at(requests, "total_ms", (50, 95, 99)).select(F.struct("*")).scalar()
+    return base.withColumns(
+        {
+            f"latency_p{p}_ms": F.coalesce(picked[f"p{p}"], F.lit(0.0))
+            for p in (50, 95, 99)
+        }
+    )
 
 
 def request_rollup(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

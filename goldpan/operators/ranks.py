@@ -141,17 +141,15 @@ def nearest_rank(
 
 
 def values_at(df: DataFrame, value: str, percentiles: Sequence[int]) -> DataFrame:
-    """Values at index round(p/100 * (n-1)) of the sorted column, ties rounded to even."""
+    """One row p<percentile>...: the values at index round(p/100 * (n-1)) of the sorted
+    column, ties rounded to even. Works on distinct values and their running counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     placed = with_running_total(counts, [F.col(value)], F.col("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    wanted = total.select(
-        F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("percentile"),
-        F.col("_all"),
-    ).select(
-        "percentile",
-        F.bround((F.col("percentile") / 100.0) * (F.col("_all") - 1), 0).cast("bigint").alias("_at"),
-    )
-    # ``wanted`` has one row per percentile asked for, whatever the size of the data.
-    hit = (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("_n"))
-    return placed.join(F.broadcast(wanted), hit).select("percentile", value)
+    total = placed.agg(F.sum("_n")).scalar()
+
+    def pick(p: int) -> Column:
+        at = F.bround(F.lit(p / 100.0) * (total - 1), 0)
+        hit = (at >= F.col("before")) & (at < F.col("before") + F.col("_n"))
+        return F.max(F.when(hit, F.col(value))).alias(f"p{p}")
+
+    return placed.agg(*[pick(p) for p in percentiles])

@@ -68,11 +68,12 @@ def _corpus(t: Tables, only: list[str] | None = None):
     pairs = [(q, s) for q, s in GOOD.items()] + [(q, s) for q, (s, _, _) in BAD.items()]
     pairs = [(q, s) for q, s in pairs if only is None or q in only]
     table = t.spark.createDataFrame(
-        [(i, q, s) for i, (q, s) in enumerate(pairs)], "slot int, query_id string, sql string"
+        [(i, "shop", q, s) for i, (q, s) in enumerate(pairs)],
+        "slot int, db_id string, query_id string, sql string",
     )
     slot = (F.col("source_index") % len(pairs)).cast("int")
     samples = inputs.samples(t).select("source_index", "sample_id", slot.alias("slot"))
-    return samples.join(table, "slot").withColumn("db_id", F.lit("shop")).drop("slot")
+    return samples.join(table, "slot").drop("slot")
 
 
 def _lit(text: str) -> str:

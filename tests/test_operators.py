@@ -170,9 +170,9 @@ def test_positions_are_dense_for_repeated_keys(spark, partitions):
 def test_values_at_uses_rounded_index(spark):
     values = [random.Random(3).choice([1.0, 2.0, 5.0, 9.0]) + i % 7 for i in range(1001)]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r["percentile"]: r["v"] for r in ranks.values_at(frame, "v", [50, 95, 99]).collect()}
+    got = ranks.values_at(frame, "v", [50, 95, 99]).first().asDict()
     ordered = sorted(values)
-    assert got == {p: ordered[round(p / 100 * 1000)] for p in (50, 95, 99)}
+    assert got == {f"p{p}": ordered[round(p / 100 * 1000)] for p in (50, 95, 99)}
 
 
 def test_nearest_rank(spark):
@@ -237,6 +237,25 @@ def test_bm25_against_brute_force(spark):
     assert got == pytest.approx(brute_bm25(rows, ["red", "brass"]))
 
 
+def test_bm25_gives_copies_their_rows(spark):
+    rows = [(i, "red brass ring" if i % 3 else "red tin") for i in range(900)]
+    frame = spark.createDataFrame(
+        [("d", i, "t", "c", "value", x, x) for i, x in rows],
+        "db_id string, row_id int, table_name string, column_name string, row_kind string, value string, search_text string",
+    )
+    asked = spark.createDataFrame(
+        [(q, "d", "tin?", "") for q in range(5)] + [(9, "other", "tin", "")],
+        "q int, db_id string, question string, evidence string",
+    )
+    terms = index.question_terms(asked, "q", ["db_id"])
+    got = index.bm25(terms, frame, "q", ["db_id"], "row_id", 256).collect()
+    assert {r["q"] for r in got} == set(range(5))
+    for q in range(5):
+        mine = sorted((r["hit_rank"], r["row_id"]) for r in got if r["q"] == q)
+        assert mine == [(i + 1, 3 * i) for i in range(256)]
+    assert got[0]["score"] == pytest.approx(brute_bm25(rows, ["tin"])[0])
+
+
 def test_name_matching(spark):
     ours = spark.createDataFrame([("d", n) for n in ["Id", "Name", "É", "Gone", "Amb"]], "scope string, name string")
     live = spark.createDataFrame([("d", n) for n in ["Id", "NAME", "é", "AMB", "amb", "New"]], "scope string, name string")
