@@ -184,8 +184,10 @@ def postings(
     tokens = F.col("_tokens")
     terms = F.concat(tokens, F.array(F.lit(""))) if with_totals else tokens
     long = (
-        rows.withColumn("_tokens", text.search_tokens(F.col("search_text")))
-        .select(*row_keys, F.size("_tokens").alias("row_length"), F.explode(terms).alias("term"))
+        rows.select(*row_keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
+        # The length is taken before the explode, which then need not carry the array along.
+        .withColumn("row_length", F.size("_tokens"))
+        .select(*row_keys, "row_length", F.explode(terms).alias("term"))
     )
     if only_terms is not None:
         wanted = only_terms.select("term").distinct()
@@ -218,11 +220,10 @@ def bm25(
     scope = list(scope)
     by_text = [*scope, "_text1", "_text2"]
     same = F.array_sort(F.collect_set("term"))
-    asked = terms.groupBy(key, *scope).agg(same.alias("_terms")).withColumn(
-        "_query", F.md5(F.concat_ws("\n", *scope, F.array_join("_terms", " ")))
-    )
-    asked = cut(asked)
-    queries = asked.select("_query", *scope, F.explode("_terms").alias("term")).distinct()
+    asked = terms.groupBy(key, *scope).agg(same.alias("_terms"))
+    unlike = asked.groupBy(*scope, "_terms").agg(F.min(key).alias("_query"))
+    members = asked.join(unlike, [*scope, "_terms"]).select(key, "_query")
+    queries = cut(unlike.select("_query", *scope, F.explode("_terms").alias("term")))
 
     keyed = rows.withColumns(
         {"_text1": F.xxhash64("search_text"), "_text2": F.xxhash64(F.lit(1), "search_text")}
@@ -266,9 +267,7 @@ def bm25(
     ranked = top_per_group(
         best.join(first_rows, by_text), ["_query"], [F.col("score"), F.col(row_id)], n, "hit_rank"
     )
-    return asked.select(key, "_query").join(ranked, "_query").select(
-        key, row_id, "score", "hit_rank"
-    )
+    return members.join(ranked, "_query").select(key, row_id, "score", "hit_rank")
 
 
 def hit_limit(top_columns: int = TOP_COLUMNS) -> int:
