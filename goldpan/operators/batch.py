@@ -36,14 +36,15 @@ def merge_issues(expected: DataFrame, merged: DataFrame, key: str) -> DataFrame:
 
 def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows still to process."""
-    return todo.join(done, list(keys), "left_anti")
+    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def prefix_violations(todo: DataFrame, done: DataFrame, key: str, order: str) -> DataFrame:
     """Rows skipped before the last finished one: finished work must be a prefix."""
-    finished = todo.join(done.select(key), key, "left_semi")
+    ids = done.select(key).distinct()
+    finished = todo.join(ids, key, "left_semi")
     last = finished.agg(F.max(order).alias("_last")).scalar()
-    return todo.where(F.col(order) <= last).join(done.select(key), key, "left_anti")
+    return todo.where(F.col(order) <= last).join(ids, key, "left_anti")
 
 
 def seeded_order(ids: DataFrame, key: str, seed: int, world: int = 1) -> DataFrame:

@@ -108,7 +108,8 @@ def reference_match(
         .when(F.col("_expected") != F.col(field), "field_mismatch")
         .alias("issue"),
     ).where(F.col("issue").isNotNull())
-    uncovered = known.join(predictions.select(key), key, "left_anti").select(
+    # Distinct first: a repeated id must not weigh on one task of the anti join.
+    uncovered = known.join(predictions.select(key).distinct(), key, "left_anti").select(
         key, F.lit("missing_prediction").alias("issue")
     )
     return wrong.unionByName(uncovered)

@@ -66,7 +66,7 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
 
 def first_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank",
-    salts: int = 64,
+    salts: int = 256,
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``; exact, and safe for a hot group.
 

@@ -32,7 +32,7 @@ def _clusters(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return candidates.groupBy(
         *keys,
         tier.alias("tier"),
-        F.when(tier == 2, F.col("result_key")).otherwise(F.lit("")).alias("cluster"),
+        F.when(tier == 2, F.coalesce("result_key", F.lit(""))).otherwise("").alias("cluster"),
     ).agg(
         size.alias("size"),
         F.when(F.count_if(finite) == size, F.round(F.sum(F.when(finite, lp)) / size, 12))
@@ -137,7 +137,8 @@ def cluster_support(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     Sizes are joined back instead of taken from a window, so Spark can split a hot sample.
     """
     tiered = candidates.withColumn("_tier", _tier()).withColumn(
-        "_cluster", F.when(F.col("_tier") == 2, F.col("result_key")).otherwise(F.lit(""))
+        "_cluster",
+        F.when(F.col("_tier") == 2, F.coalesce("result_key", F.lit(""))).otherwise(""),
     )
     sizes = tiered.groupBy(*keys, "_tier", "_cluster").agg(F.count("*").alias("_size"))
     voting = sizes.groupBy(*keys).agg(F.max("_tier").alias("_voting_tier"))
