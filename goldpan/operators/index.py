@@ -281,16 +281,28 @@ def column_hits(
     """Per question and column: best score and the first distinct matched values.
 
     ``hits`` holds at most ``hit_limit`` rows per question, which bounds every group here.
-    They are materialised once because two aggregates read them.
+    They are materialised once, with digests in place of the values; whole values are
+    fetched only for the few that are kept.
     """
-    placed = cut(hits.join(rows.select(row_id, *COLUMN, "row_kind", "value"), row_id))
+    narrow = rows.select(
+        row_id,
+        *COLUMN,
+        ((F.col("row_kind") == "value") & (F.col("value") != "")).alias("_valued"),
+        F.xxhash64("value").alias("_value1"),
+        F.xxhash64(F.lit(1), "value").alias("_value2"),
+    )
+    placed = cut(hits.join(narrow, row_id))
     best = placed.groupBy(key, *COLUMN).agg(F.min("score").alias("score"))
     first_seen = (
-        placed.where((F.col("row_kind") == "value") & (F.col("value") != ""))
-        .groupBy(key, *COLUMN, "value")
+        placed.where("_valued")
+        .groupBy(key, *COLUMN, "_value1", "_value2")
         .agg(F.min("hit_rank").alias("hit_rank"))
     )
-    kept = top_per_group(first_seen, [key, *COLUMN], [F.col("hit_rank")], values_per_column)
+    kept = (
+        top_per_group(first_seen, [key, *COLUMN], [F.col("hit_rank")], values_per_column)
+        .join(placed.select(key, "hit_rank", row_id), [key, "hit_rank"])
+        .join(rows.select(row_id, "value"), row_id)
+    )
     values = kept.groupBy(key, *COLUMN).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]

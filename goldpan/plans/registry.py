@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Tables whose texts cost more to process than to move.
 TEXT_TABLES = {"documents"}
@@ -21,6 +21,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that one query reads several times, written on first use."""
+        if name not in self.kept:
+            self.kept[name] = cut(build())
+        return self.kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

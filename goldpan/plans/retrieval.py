@@ -279,6 +279,10 @@ def _info(t: Tables):
 
 
 def _corpus(t: Tables):
+    return t.once("corpus", lambda: _corpus_rows(t))
+
+
+def _corpus_rows(t: Tables):
     line = text.one_line(F.col("text"))
     values = t.documents.select(
         F.col("source").alias("db_id"),
