@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = 8, name: str = "goldpan") -> SparkSession:
@@ -27,24 +31,41 @@ def local_session(cores: int | str = 8, name: str = "goldpan") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset, as in
-    local tests, a fresh temporary folder is made and set for checkpoints.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs in one process
+    may do without: it gets a temporary folder that goes when the process ends.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="goldpan-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_FALLBACK[app])
+        atexit.register(shutil.rmtree, _LOCAL_FALLBACK[app], ignore_errors=True)
+        context.setCheckpointDir(_LOCAL_FALLBACK[app])
     return _LOCAL_FALLBACK[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path nothing has written to yet, under the shared folder."""
-    return f"{shared_dir(spark)}/goldpan-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/goldpan-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session has written; results that still read from
+    them must have been stored before. Returns the number of folders."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,13 +79,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer input splits than the session has cores.
-
-    For small files with costly expressions on top. A scan of many files is left alone.
-    Call it on a plain scan: it only looks at the planned splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
