@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldpan.llm import quality
+from goldpan.llm import quality, simhash
 from goldpan.session import written
 
 
@@ -17,7 +17,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-STAGES = [("quality", keep_quality)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: 3-word shingles, 2 differing bits."""
+    return simhash.first_of_each(docs, words=3, radius=2)
+
+
+STAGES = [("quality", keep_quality), ("near_dedup", drop_near_duplicates)]
 
 #: The classifier, the fingerprints and the token files have no SQL form.
 ORACLE_SQL = None

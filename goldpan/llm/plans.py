@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be told in DuckDB's SQL with the same hashes, models or formats except
@@ -33,3 +33,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3
     )
+
+
+@_query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2)
