@@ -7,7 +7,8 @@ is brought to unit length, and a hinge-loss linear model is fitted on such rows
 descent. A logistic curve on cross-fitted margins turns a margin into a probability.
 
 The class counts cover every labelled row. The linear model and the curve are fitted on at most
-``fit_rows`` labelled rows, those with the lowest hash of their text (documented bound).
+``fit_rows`` labelled rows, half of each class, those with the lowest hash of their key (documented
+bound); the key chooses rows, it is no input of a score.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def _curve(margins: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
 
 def train(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id",
-    label: str = "quality", fit_rows: int = 6000, passes: int = 8, cost: float = 1.0,
+    label: str = "quality", fit_rows: int = 4000, passes: int = 8, cost: float = 1.0,
     smoothing: float = 1.0, folds: int = 3, seed: int = 11,
 ) -> Model:
     """Fit on the rows of ``docs`` that ``labels`` marks 0 or 1.
@@ -180,39 +181,52 @@ def train(
         rows.mapInArrow(_count_rows, "bucket int, low long, high long")
         .groupBy("bucket")
         .agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
-        .toPandas()
+        .toArrow()
     )
-    totals = counted[counted.bucket == -1]
-    n0, n1 = int(totals["low"].sum()), int(totals["high"].sum())
+    bucket, low_rows, high_rows = (counted.column(i).to_numpy() for i in range(3))
+    total = bucket < 0
+    n0, n1 = int(low_rows[total].sum()), int(high_rows[total].sum())
     flat = Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
         flat.offset = float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30))
         return flat
-    counted = counted[counted.bucket >= 0]
     low, high = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    low[counted.bucket], high[counted.bucket] = counted["low"], counted["high"]
+    low[bucket[~total]], high[bucket[~total]] = low_rows[~total], high_rows[~total]
     scale = np.log((high + smoothing) / (high + smoothing).sum()) - np.log(
         (low + smoothing) / (low + smoothing).sum()
     )
-    # Equal (text, label) rows are interchangeable, so ties of the order change nothing. Half of
-    # the rows go to the rarer class if it has as many, so that both classes are learned.
-    sample = rows.select("text", "label", F.xxhash64("text").alias("order"))
-    picked = [
-        sample.where(F.col("label") == side).orderBy("order").limit(fit_rows // 2) for side in (0, 1)
+    # The sample is drawn from the marks alone, so the texts need no second shuffle: at most
+    # ``fit_rows`` keys are sent to the scan.
+    drawn = [
+        marks.where(F.col("label") == side).where(F.col("_key").isNotNull())
+        .select("_key", "label", F.xxhash64(F.lit(seed), "_key").alias("order"))
+        .orderBy("order", "_key").limit(fit_rows // 2)
+        for side in (0, 1)
     ]
+    keys = drawn[0].unionAll(drawn[1]).select("_key", "label")
     found = (
-        picked[0].unionAll(picked[1])
+        docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        .join(F.broadcast(keys), "_key")
+        .select("text", "label", F.xxhash64("text").alias("order"))
         .mapInArrow(_sample_rows, "buckets array<int>, label int, order long")
-        .toPandas()
-        .sort_values(["order", "label"], kind="stable")
+        .toArrow()
+        .combine_chunks()
     )
-    vectors = [np.asarray(b, dtype=np.int64) for b in found.buckets]
-    positive = found.label.to_numpy() == 1
+    lists = found.column("buckets").combine_chunks()
+    flat_ids, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
+    vectors = [flat_ids[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+    side, order = found.column("label").to_numpy(), found.column("order").to_numpy()
+    first = sorted(range(len(vectors)), key=lambda i: (order[i], side[i]))  # however rows arrived
+    vectors, side, order = [vectors[i] for i in first], side[first], order[first]
+    positive = side == 1
     signs = np.where(positive, 1.0, -1.0)
+    if not positive.any() or positive.all():  # marks without a document filled the sample
+        flat.offset = float(np.log(n1 / n0))
+        return flat
     margins = np.zeros(len(vectors))
     # Copies of a text share a fold, or the curve would be fitted on seen rows.
-    fold = (found.order.to_numpy() % folds).astype(int)
+    fold = (order % folds).astype(int)
     for f in range(folds):
         inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         w, b = dual_descent([vectors[i] for i in inside], signs[inside], scale, passes, cost, seed)
