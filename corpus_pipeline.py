@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldpan.llm import quality, simhash
+from goldpan.llm import decontaminate, mixing, quality, simhash
 from goldpan.session import written
 
 
@@ -22,7 +22,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.first_of_each(docs, words=3, radius=2)
 
 
-STAGES = [("quality", keep_quality), ("near_dedup", drop_near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of ten words of a benchmark item occurs."""
+    return decontaminate.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often (0 to 2 times) as the mix of its source takes it."""
+    return mixing.mixed_rows(docs, share=1.5, most=2)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+]
 
 #: The classifier, the fingerprints and the token files have no SQL form.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be told in DuckDB's SQL with the same hashes, models or formats except
@@ -43,3 +43,38 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"), share=1.5, most=2)
+
+
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS t
+  FROM items, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT rid, i, n, array_to_string(w[i + 1 : i + n], ' ') AS t
+  FROM split, sizes, unnest(range(0, len(w) - n + 1)) AS u(i)),
+hits AS (SELECT rid, i, n, item_id FROM places JOIN wins USING (n, t)),
+words AS (
+  SELECT rid, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) AS u(k) GROUP BY rid),
+who AS (
+  SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN words USING (rid) LEFT JOIN who USING (rid)
+"""
+
+
+@_query("op4_decontaminate", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10
+    )
