@@ -174,7 +174,7 @@ def train(
     rows = (
         docs.where(F.col(key).isNotNull())
         .select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-        .join(marks, "_key")
+        .join(marks.hint("merge"), "_key")  # marks grow with the documents: never broadcast
         .select(F.coalesce("_text", F.lit("")).alias("text"), "label")
     )
     counted = (
