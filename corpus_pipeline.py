@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from goldpan.llm import decontaminate, mixing, quality, simhash
+from goldpan.llm import decontaminate, mixing, quality, simhash, token_files
 from goldpan.session import written
 
 
@@ -32,11 +33,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs, share=1.5, most=2)
 
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, described by what is read back from them."""
+    return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality", keep_quality),
     ("near_dedup", drop_near_duplicates),
     ("decontaminate", drop_contaminated),
     ("mix", mix_sources),
+    ("tokens", write_tokens),
 ]
 
 #: The classifier, the fingerprints and the token files have no SQL form.

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, kdtree, mixing, quality, simhash, topk
+from . import chat, decontaminate, kdtree, mixing, quality, simhash, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be told in DuckDB's SQL with the same hashes, models or formats except
@@ -129,3 +130,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], table.schema)
     return chat.read_back(chat.text_messages(table.unionAll(extra)))
+
+
+@_query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), vocabulary, end=2)
