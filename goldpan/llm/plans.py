@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, kdtree, line_dedup, mixing, quality, simhash, token_files, topk
+from . import chat, decontaminate, fuzzy_lines, kdtree, line_dedup, mixing, quality, simhash, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be told in DuckDB's SQL with the same hashes, models or formats except
@@ -141,3 +141,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(_table(spark, sf_dir, "documents"), "line", least_words=50)
+
+
+@_query("op3_fuzzy_lines")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.remove_fuzzy(_table(spark, sf_dir, "documents"), least_words=5)

@@ -14,7 +14,7 @@ bits it leaves free; the second bucket has only the bits free in both, 12 for ra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -154,14 +154,18 @@ def _dealt(rows: DataFrame, tables: Column) -> DataFrame:
     )
 
 
-def links(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+def masked_links(
+    prints: DataFrame, radius: int, masks: list[int], again: Callable[[list[int]], list[int]],
+    bucket: int = BUCKET,
+) -> DataFrame:
     """Edges (a, b) with the same components as "at most ``radius`` differing bits".
 
-    ``prints`` has one distinct, non-null long column ``print``.
+    ``prints`` has one distinct, non-null long column ``print``. ``masks`` are the kept bits of the
+    tables, ``again`` gives those for the bits that a table leaves free; both must let every pair
+    within the radius meet.
     """
     ship(prints.sparkSession)
     schema = "part int, kept long, a long, b long"
-    masks = covering_masks(list(range(BITS)), radius)
 
     def entry(number: int, mask: int) -> Column:
         return F.struct(
@@ -172,29 +176,22 @@ def links(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame
     first = F.array(*[entry(i, m) for i, m in enumerate(masks)])
     found = written(_dealt(prints.select("print"), first).mapInArrow(_link(radius, bucket), schema), "links")
     # Buckets over the limit: dealt again over the bits that they leave free.
-    choice = None
+    choice, number = None, 0
     for i, mask in enumerate(masks):
-        free = [bit for bit in range(BITS) if not mask >> bit & 1]
-        again = F.array(
-            *[entry(i * len(masks) + j, mask | m) for j, m in enumerate(covering_masks(free, radius))]
-        )
+        seconds = again([bit for bit in range(BITS) if not mask >> bit & 1])
+        table = F.array(*[entry(number + j, mask | m) for j, m in enumerate(seconds)])
+        number += len(seconds)
         hit = F.col("part") == i
-        choice = F.when(hit, again) if choice is None else choice.when(hit, again)
+        choice = F.when(hit, table) if choice is None else choice.when(hit, table)
     large = found.where(F.col("part").isNotNull()).select("part", F.col("a").alias("print"))
     second = _dealt(large, choice).mapInArrow(_link(radius, None), schema)
     return found.where(F.col("part").isNull()).select("a", "b").unionAll(second.select("a", "b"))
 
 
-def _print_batches(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))],
-                ["doc_id", "print"],
-            )
-
-    return run
+def links(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """``masked_links`` with covering masks, at both levels."""
+    masks = covering_masks(list(range(BITS)), radius)
+    return masked_links(prints, radius, masks, lambda free: covering_masks(free, radius), bucket)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
