@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+from threading import Event, Thread
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .scoring import result_digest
 
 # Must equal the reference for matching results.
@@ -40,20 +45,34 @@ ERROR_TYPES = {
 OTHER_ERROR = "sqlite_error"
 
 
+# Left to right, as the parser reads: raw literals know no escapes, others escape with a backslash.
+_RAW = r"""\br'[^']*'|\br"[^"]*\""""
+_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_NAME = r"`(?:[^`]|``)*`"
+_COMMENT = r"--[^\n]*|/\*.*?\*/"
+#: Put after whatever was quoted.
+_QUOTED = "\u00a4"
+
+
 def _bare(sql: Column) -> Column:
-    """Statement without comments, with literals and quoted names emptied."""
-    quoted = F.regexp_replace(sql, r"(?s)'(?:[^']|'')*'", "''")
-    quoted = F.regexp_replace(quoted, r'(?s)"(?:[^"]|"")*"|`[^`]*`', "q")
-    plain = F.regexp_replace(quoted, r"(?s)/\*.*?\*/|--[^\n]*", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    """Statement without comments; literals are emptied, quoted names of plain letters are
+    written plainly, so that a quoted function is seen, and other quoted names become ``q``."""
+    quoted = f"{_RAW}|{_LITERAL}|{_NAME}"
+    text = F.replace(sql, F.lit(_QUOTED), F.lit(" "))
+    text = F.regexp_replace(text, rf"(?is)({quoted})|(?:{_COMMENT})", "$1 ")
+    text = F.regexp_replace(text, rf"(?is)({_NAME})|(?:{_RAW}|{_LITERAL})", f"$1{_QUOTED}")
+    text = F.regexp_replace(text, rf"`(\w+)`{_QUOTED}", " $1 ")
+    text = F.regexp_replace(text, rf"(?s)`(?:[^`]|``)*`{_QUOTED}", " q ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def guard(sql: Column) -> Column:
     """'ok', 'invalid_sql' for nothing to run, or 'unsafe_sql'.
 
-    Runs before ``spark.sql``, which would execute a definition statement at once.
+    Runs before ``spark.sql``, which would execute a definition statement at once. A null
+    statement is nothing to run.
     """
-    text = F.regexp_replace(_bare(sql), r"[; ]+$", "")
+    text = F.regexp_replace(_bare(F.coalesce(sql, F.lit(""))), r"[; ]+$", "")
     functions = "|".join([*UNSAFE_FUNCTIONS, *UNSAFE_SPARK_FUNCTIONS])
     return (
         F.when(text == "", "invalid_sql")
@@ -66,7 +85,7 @@ def guard(sql: Column) -> Column:
             ),
             "unsafe_sql",
         )
-        .when(text.rlike(r"(?i)\busing ''"), "unsafe_sql")
+        .when(text.rlike(rf"(?i)\busing ?{_QUOTED}"), "unsafe_sql")
         .otherwise("ok")
     )
 
@@ -123,7 +142,21 @@ def run_statement(
             db_id, sql, "unsafe_sql", started, error_type="unsafe_sql",
             error_message="Only a single read-only statement is allowed.",
         )
+    # The jobs of a driver thread share a group. After the deadline it is ended again and again, as
+    # a statement may be between two jobs.
+    context, group = session.sparkContext, f"goldpan-{uuid.uuid4().hex}"
+    late, over = Event(), Event()
+
+    def watch() -> None:
+        if not over.wait(timeout_ms / 1000):
+            late.set()
+            while not over.wait(0.5):
+                context.cancelJobGroup(group)
+
+    context.setJobGroup(group, f"statement on {db_id}", interruptOnCancel=True)
     try:
+        if timeout_ms is not None:
+            Thread(target=watch, daemon=True).start()
         result = session.sql(sql.rstrip().rstrip(";"))
         width = len(result.columns)
         if width == 0:
@@ -133,12 +166,16 @@ def run_statement(
             )
         bounded = result if max_rows is None else result.limit(max_rows + 1)
         summary = result_digest(bounded).first()
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
+        if late.is_set():
+            return _timeout(db_id, sql, started, timeout_ms)
+        condition, message = _described(error)
         return _outcome(
-            db_id, sql, "execution_error", started,
-            error_type=_error_type_of(error.getCondition()),
-            error_message=str(error).splitlines()[0],
+            db_id, sql, "execution_error", started, error_type=_error_type_of(condition),
+            error_message=message,
         )
+    finally:
+        over.set()
     rows = int(summary["row_count"])
     if max_rows is not None and rows > max_rows:
         return _outcome(
@@ -149,14 +186,30 @@ def run_statement(
         db_id, sql, "success", started, row_count=rows, column_count=width,
         empty_result=rows == 0, result_key=summary["result_key"],
     )
-    if timeout_ms is not None and done["elapsed_ms"] > timeout_ms:
-        done.update(
-            status="timeout", row_count=0, column_count=0, empty_result=False, result_key=None,
-            error_type="timeout", error_message=f"Took longer than {timeout_ms} ms.",
-        )
+    if timeout_ms is not None and (late.is_set() or done["elapsed_ms"] > timeout_ms):
+        return _timeout(db_id, sql, started, timeout_ms)
     return done
 
 
+def _timeout(db_id: str, sql: str, started: float, timeout_ms: float) -> dict:
+    return _outcome(
+        db_id, sql, "timeout", started, error_type="timeout",
+        error_message=f"Took longer than {timeout_ms} ms.",
+    )
+
+
+def _described(error: Exception) -> tuple[str | None, str]:
+    """Error condition and first line of the message; both kinds of engine errors have one."""
+    text = str(error)
+    condition = error.getCondition() if isinstance(error, PySparkException) else None
+    if condition is None:
+        # Wrapped errors: the first bracketed condition that is known, outermost first.
+        found = re.findall(r"\[([A-Z][A-Z0-9_.]+)\]", text)
+        condition = next((c for c in found if _error_type_of(c) != OTHER_ERROR), next(iter(found), None))
+    lines = (line.strip() for line in text.splitlines())
+    return condition, next((line for line in lines if line), type(error).__name__)
+
+
 def distinct_statements(df: DataFrame, db: str = "db_id", sql: str = "sql") -> DataFrame:
     """Each (database, statement) once, with how often it occurs."""
     return df.groupBy(db, sql).agg(F.count("*").alias("occurrences"))
@@ -164,28 +217,49 @@ def distinct_statements(df: DataFrame, db: str = "db_id", sql: str = "sql") -> D
 
 def run_statements(
     statements: DataFrame,
-    register: Callable[[SparkSession], None],
+    register: Callable[[SparkSession, str], None],
     max_rows: int | None = None,
     timeout_ms: float | None = None,
     threads: int = 4,
+    path: str | None = None,
+    chunk: int = 256,
 ) -> DataFrame:
     """Outcome rows for the distinct (db_id, sql) of ``statements``.
 
-    ``register`` creates the views in a session of their own. Statements are submitted from
-    a few driver threads, each as an ordinary distributed job; data rows stay on the
-    executors and the driver sees one summary row per distinct statement.
+    ``register`` creates the views of one database in the session that it is given; every database
+    has a session of its own, in which a file path is no table name. Statements are submitted from
+    a few driver threads, each as an ordinary distributed job; data rows stay on the executors.
+    Outcomes are appended to the table at ``path`` in chunks, so the driver holds one chunk, and a
+    run that was broken off goes on with the statements that the table does not have.
     """
     spark = statements.sparkSession
-    session = spark.newSession()
-    register(session)
-    checked = distinct_statements(statements).select("db_id", "sql", guard(F.col("sql")).alias("v"))
-
-    def run(row) -> dict:
+    path = path or scratch_path(spark, "outcomes")
+    spark.createDataFrame([], OUTCOME_SCHEMA).write.mode("append").parquet(path)
+    done = spark.read.schema(OUTCOME_SCHEMA).parquet(path).select("db_id", "sql")
+    left = distinct_statements(statements).join(done, ["db_id", "sql"], "left_anti")
+    checked = left.select("db_id", "sql", guard(F.col("sql")).alias("v")).orderBy("db_id", "sql")
+    sessions: dict[str, SparkSession] = {}
+
+    def session_of(db_id: str) -> SparkSession:
+        if db_id not in sessions:
+            sessions.clear()  # rows come database by database
+            session = spark.newSession()
+            session.conf.set("spark.sql.runSQLOnFiles", "false")
+            register(session, db_id)
+            sessions[db_id] = session
+        return sessions[db_id]
+
+    def run(job: tuple) -> dict:
+        session, row = job
         return run_statement(session, row["db_id"], row["sql"], row["v"], max_rows, timeout_ms)
 
+    rows = checked.toLocalIterator()
     with ThreadPoolExecutor(threads) as pool:
-        outcomes = list(pool.map(run, checked.toLocalIterator()))
-    return spark.createDataFrame(outcomes, OUTCOME_SCHEMA)
+        while part := list(islice(rows, chunk)):
+            jobs = [(session_of(row["db_id"]), row) for row in part]
+            outcomes = list(pool.map(run, jobs))
+            spark.createDataFrame(outcomes, OUTCOME_SCHEMA).write.mode("append").parquet(path)
+    return spark.read.schema(OUTCOME_SCHEMA).parquet(path)
 
 
 def audit_samples(samples: DataFrame, outcomes: DataFrame, known: DataFrame) -> DataFrame:
@@ -268,6 +342,7 @@ def response_status(mode: Column, chosen: Column, sql: Column, execution: Column
 
 def masked_message(error: Column, message: Column) -> Column:
     """Error text without database locations."""
+    # Fixed value: the message must equal the reference for matching results.
     hidden = error.isin("database_not_found", "database_open_error")
     return F.when(hidden, "The registered SQLite database is unavailable.").otherwise(message)
 
@@ -287,28 +362,41 @@ def _scans(plan: str) -> Iterable[tuple[str, list[str]]]:
 
 
 def access_trace(
-    statements: DataFrame, register: Callable[[SparkSession], None]
+    statements: DataFrame, register: Callable[[SparkSession, str], None]
 ) -> DataFrame:
-    """(db_id, sql, table, column) read by each safe statement, from the scans of its plan.
+    """(db_id, sql, table, column, error) read by each safe statement, from the scans of its plan.
 
-    A scan without columns (a bare count) gives one row with a null column. Columns are the
-    ones left after pruning.
+    A scan without columns (a bare count) gives one row with a null column; a statement that
+    cannot be planned gives one row with its error. Columns are the ones left after pruning.
     """
     spark = statements.sparkSession
-    session = spark.newSession()
-    session.conf.set("spark.sql.maxMetadataStringLength", "100000")
-    session.conf.set("spark.sql.debug.maxToStringFields", "10000")
-    register(session)
+    sessions: dict[str, SparkSession] = {}
+
+    def session_of(db_id: str) -> SparkSession:
+        if db_id not in sessions:
+            session = sessions[db_id] = spark.newSession()
+            session.conf.set("spark.sql.maxMetadataStringLength", str(2**31 - 1))
+            session.conf.set("spark.sql.debug.maxToStringFields", str(2**31 - 1))
+            session.conf.set("spark.sql.runSQLOnFiles", "false")
+            register(session, db_id)
+        return sessions[db_id]
+
     checked = distinct_statements(statements).where(guard(F.col("sql")) == "ok")
     rows = []
     for row in checked.toLocalIterator():
         try:
-            plan = session.sql("EXPLAIN FORMATTED " + row["sql"]).first()[0]
-        except PySparkException:
+            text = row["sql"].rstrip().rstrip(";")
+            plan = session_of(row["db_id"]).sql("EXPLAIN FORMATTED " + text).first()[0]
+            if plan.startswith("Error occurred"):  # an EXPLAIN reports what it cannot plan as text
+                session_of(row["db_id"]).sql(text)
+        except (PySparkException, Py4JJavaError) as error:
+            rows.append((row["db_id"], row["sql"], None, None, _error_type_of(_described(error)[0])))
             continue
         seen = {(t, c) for t, columns in _scans(plan) for c in (columns or [None])}
-        rows.extend((row["db_id"], row["sql"], t, c) for t, c in sorted(seen, key=str))
-    return spark.createDataFrame(rows, "db_id string, sql string, table string, column string")
+        rows.extend((row["db_id"], row["sql"], t, c, None) for t, c in sorted(seen, key=str))
+    return spark.createDataFrame(
+        rows, "db_id string, sql string, table string, column string, error string"
+    )
 
 
 def display_rows(

@@ -144,10 +144,17 @@ def metadata_issues(parsed: DataFrame, key: str) -> DataFrame:
         "table_index_differs": F.exists(pairs, lambda p: p["o"][0] != p["d"][0]),
         "star_used_as_name": F.exists(named, lambda c: c[1] == "*"),
     }
-    failed = F.filter(
-        F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]),
+    # A rule that cannot be judged, as a field it needs is missing, counts as broken.
+    broken = {name: F.coalesce(bad, F.lit(True)) for name, bad in rules.items()}
+    fields = ["table_names_original", "table_names", "column_names_original", "column_names", "column_types"]
+    unread = F.lit(True)
+    for field in fields:
+        unread = unread & F.col(field).isNull()
+    listed = F.filter(
+        F.array(*[F.when(bad, F.lit(name)) for name, bad in broken.items()]),
         lambda r: r.isNotNull(),
     )
+    failed = F.when(unread, F.array(F.lit("unparsable"))).otherwise(listed)
     return parsed.select(key, F.explode(failed).alias("rule"))
 
 

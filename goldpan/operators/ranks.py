@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: From this rank on Spark no longer limits groups before a window (its default).
+GROUP_LIMIT = 1000
+
+
 def _partition_and_slot(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-sort, number rows inside each partition, and cut the lineage.
 
@@ -90,7 +94,9 @@ def first_per_group(
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank"
 ) -> DataFrame:
-    """As ``first_per_group`` for small ``n``: Spark limits each group before the shuffle."""
+    """As ``first_per_group``; for small ``n`` Spark itself limits each group before the shuffle."""
+    if n >= GROUP_LIMIT:
+        return first_per_group(df, keys, order, n, name)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n)
 

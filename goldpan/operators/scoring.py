@@ -35,10 +35,16 @@ def cell_key(c: Column, dtype: T.DataType) -> Column:
         return F.concat(F.lit("n:"), c.cast("int").cast("string"))
     if isinstance(dtype, T.IntegralType):
         return F.concat(F.lit("n:"), c.cast("string"))
-    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
+    if isinstance(dtype, T.DecimalType):
+        return F.concat(F.lit("n:"), _plain(c))
+    if isinstance(dtype, T.FractionalType):
         d = c.cast("double")
-        whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.0e15))
-        text = F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+        # A whole double is its integer up to 38 digits; another one is the decimal that its
+        # shortest text stands for, if that decimal gives the same double back.
+        whole = F.when((d == F.floor(d)) & (F.abs(d) < F.lit(1e37)), d.try_cast("decimal(38,0)"))
+        exact = d.cast("string").try_cast("decimal(38,18)")
+        exact = F.when(exact.cast("double") == d, exact)
+        text = F.coalesce(whole.cast("string"), _plain(exact), d.cast("string"))
         return F.concat(F.lit("n:"), text)
     if isinstance(dtype, T.BinaryType):
         return F.concat(F.lit("b:"), F.hex(c))
@@ -47,6 +53,13 @@ def cell_key(c: Column, dtype: T.DataType) -> Column:
     return F.concat(F.lit("s:"), c.cast("string"))
 
 
+def _plain(c: Column) -> Column:
+    """Decimal text without zeros after the last digit of the fraction, and without a sign at 0."""
+    text = F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
+    text = F.regexp_replace(text, r"\.$", "")
+    return F.regexp_replace(text, r"^-(0(?:\.0*)?)$", "$1")
+
+
 def row_key(df: DataFrame) -> Column:
     """Array of cell keys in column order, usable as a grouping key."""
     cells = [
@@ -75,10 +88,13 @@ def result_digest(df: DataFrame) -> DataFrame:
 
 
 def compare_row_sets(
-    predicted: DataFrame, gold: DataFrame, pair: Sequence[str], cells: Sequence[str]
+    predicted: DataFrame, gold: DataFrame, pair: Sequence[str], cells: Sequence[str],
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Per pair: distinct rows of each side, of both, and of either; plus raw row counts.
 
+    A pair with two empty results has no rows; it appears, with zero counts, if it is in ``pairs``.
+
     One grouping replaces a null-safe full join: sides are tagged, equal rows meet in one
     group, and each side is already reduced before the shuffle.
     """
@@ -88,7 +104,7 @@ def compare_row_sets(
     rows = tagged.groupBy(*pair, *cells).agg(
         F.sum("_p").alias("_p"), F.sum("_g").alias("_g")
     )
-    return rows.groupBy(*pair).agg(
+    counts = rows.groupBy(*pair).agg(
         F.count_if(F.col("_p") > 0).alias("predicted_rows"),
         F.count_if(F.col("_g") > 0).alias("gold_rows"),
         F.count_if((F.col("_p") > 0) & (F.col("_g") > 0)).alias("common_rows"),
@@ -96,6 +112,10 @@ def compare_row_sets(
         F.sum("_p").alias("predicted_row_count"),
         F.sum("_g").alias("gold_row_count"),
     )
+    if pairs is None:
+        return counts
+    measures = [c for c in counts.columns if c not in pair]
+    return pairs.select(*pair).distinct().join(counts, list(pair), "left").fillna(0, measures)
 
 
 def execution_match(counts: DataFrame) -> Column:
@@ -185,5 +205,5 @@ def score_predictions(
     both_ok = (F.col("status") == "success") & (F.col("gold_status") == "success")
     same = F.col("result_key") == F.col("gold_key")
     return predictions.join(annotations, list(keys)).withColumn(
-        "official_ex", (both_ok & same).cast("int")
+        "official_ex", F.coalesce(both_ok & same, F.lit(False)).cast("int")
     )

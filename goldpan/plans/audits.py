@@ -53,12 +53,22 @@ BAD = {
 CAP = 50_000
 
 
-def register_tables(folder: str):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+#: The second database: the same table names with other rows.
+OTHER = {"region": "r_regionkey > 1", "nation": "n_regionkey > 1"}
+SHARED = "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"
+
 
-    def register(session: SparkSession) -> None:
-        for name in names:
-            session.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+def register_tables(folder: str):
+    def register(session: SparkSession, db_id: str) -> None:
+        for name in TABLES:
+            table = session.read.parquet(f"{folder}/{name}.parquet")
+            if db_id == "branch" and name in OTHER:
+                table = table.where(OTHER[name])
+            table.createOrReplaceTempView(name)
 
     return register
 
@@ -107,13 +117,21 @@ _ASKED = (
 @query(
     "d01_audited_run",
     "WITH RECURSIVE " + _outcome_sql()
-    + " SELECT query_id, status, row_count, error_type FROM outcomes",
+    + " SELECT 'shop' AS db_id, query_id, status, row_count, error_type FROM outcomes"
+    + " UNION ALL SELECT 'shop', 'shared', 'success', count(*), NULL FROM nation"
+    + " UNION ALL SELECT 'branch', 'shared', 'success', count(*), NULL FROM nation"
+    + f" WHERE {OTHER['nation']}",
 )
 def _(t: Tables):
-    corpus = _corpus(t)
+    shared = t.spark.createDataFrame(
+        [("shop", "shared", SHARED), ("branch", "shared", SHARED)],
+        "db_id string, query_id string, sql string",
+    )
+    corpus = _corpus(t).select("db_id", "query_id", "sql").unionAll(shared)
     outcomes = audit.run_statements(corpus, register_tables(t.folder))
-    named = corpus.select("query_id", "db_id", "sql").distinct()
-    return named.join(outcomes, ["db_id", "sql"]).select("query_id", "status", "row_count", "error_type")
+    return corpus.distinct().join(outcomes, ["db_id", "sql"]).select(
+        "db_id", "query_id", "status", "row_count", "error_type"
+    )
 
 
 @query(

@@ -21,15 +21,18 @@ dp AS (SELECT DISTINCT * FROM p), dg AS (SELECT DISTINCT * FROM g),
 rows_ AS (SELECT coalesce(dp.pair, dg.pair) AS pair, dp.pair IS NOT NULL AS in_p,
                  dg.pair IS NOT NULL AS in_g
           FROM dp FULL JOIN dg ON dp.pair = dg.pair AND dp.a = dg.a AND dp.b = dg.b),
+asked AS (SELECT c_custkey AS pair FROM customer UNION SELECT c_custkey - 1 FROM customer),
 counts AS (SELECT pair, count(*) FILTER (in_p) AS np, count(*) FILTER (in_g) AS ng,
-                  count(*) FILTER (in_p AND in_g) AS nc, count(*) AS nu
-           FROM rows_ GROUP BY pair)"""
+                  count(*) FILTER (in_p AND in_g) AS nc, count(*) FILTER (in_p OR in_g) AS nu
+           FROM asked LEFT JOIN rows_ USING (pair) GROUP BY pair)"""
 
 
 def _pair_counts(t: Tables):
     predicted = t.orders.selectExpr("o_custkey AS pair", *_CELLS.split(", ", 1))
     gold = t.orders.selectExpr("o_custkey - 1 AS pair", *_CELLS.split(", ", 1))
-    return scoring.compare_row_sets(predicted, gold, ["pair"], ["a", "b"])
+    asked = t.customer.selectExpr("c_custkey AS pair")
+    asked = asked.unionAll(t.customer.selectExpr("c_custkey - 1 AS pair"))
+    return scoring.compare_row_sets(predicted, gold, ["pair"], ["a", "b"], asked)
 
 
 @query(
@@ -106,7 +109,7 @@ def _(t: Tables):
   base AS (SELECT *, CAST(nc = nu AS INTEGER) AS ex,
     CASE WHEN pair % 2 = 0 THEN 1.0 ELSE 2.0 / 3.0 END AS tf,
     CASE WHEN pair % 3 = 0 THEN 0.5 ELSE 0.8 END AS cf,
-    CASE WHEN pc = gc THEN CAST(nc AS DOUBLE) / nu ELSE 0.0 END AS jac FROM sizes)
+    CASE WHEN pc <> gc THEN 0.0 WHEN nu = 0 THEN 1.0 ELSE CAST(nc AS DOUBLE) / nu END AS jac FROM sizes)
 SELECT pair, ok AS executable,
   CASE WHEN ok THEN ex ELSE 0 END AS official_ex,
   round(CASE WHEN NOT ok THEN 0.0 WHEN ex = 1 THEN 1.0 ELSE least(0.55,

@@ -46,12 +46,21 @@ def _issue(line: Column) -> Column:
 def scan_strict_jsonl(
     spark: SparkSession, path: str, schema: T.StructType | str
 ) -> tuple[DataFrame, DataFrame]:
-    """Records that are objects, and the rejected lines with their reason."""
+    """Records that are objects of the schema, and the rejected lines with their reason.
+
+    An object with a value of another type than its field's is rejected as ``wrong_type``.
+    """
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     filled = lines.where(F.trim(F.regexp_replace("line", r"\s", "")) != "")
-    judged = filled.withColumn("issue", _issue(F.col("line")))
-    good = judged.where(F.col("issue").isNull()).select(F.from_json("line", schema).alias("r"))
-    return good.select("r.*"), judged.where(F.col("issue").isNotNull())
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "_goldpan_bad"
+    wide = T.StructType([*fields.fields, T.StructField(bad, T.StringType())])
+    parsed = F.from_json("line", wide, {"columnNameOfCorruptRecord": bad})
+    judged = filled.withColumn("issue", _issue(F.col("line"))).withColumn("r", parsed)
+    wrong = F.when(F.col(f"r.{bad}").isNotNull(), "wrong_type")
+    judged = judged.withColumn("issue", F.coalesce("issue", wrong))
+    good = judged.where(F.col("issue").isNull()).select(*[F.col(f"r.`{f.name}`") for f in fields.fields])
+    return good, judged.where(F.col("issue").isNotNull()).drop("r")
 
 
 def jsonl_issues(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import random
 
 import pytest
@@ -343,6 +345,14 @@ def test_guard(spark):
         "SELECT * FROM a JOIN b USING (k)": "ok",
         "": "invalid_sql",
         "/* x */ ;": "invalid_sql",
+        "SELECT `reflect`('java.lang.System','getProperty','user.home')": "unsafe_sql",
+        r"SELECT '\'', reflect('java.lang.System', 'getProperty', 'user.home')": "unsafe_sql",
+        r"SELECT r'\', reflect('java.lang.System', 'getProperty', 'x')": "unsafe_sql",
+        r"SELECT 'it\'s; ok'": "ok",
+        "SELECT 1 -- don't\n, reflect('a', 'b')": "unsafe_sql",
+        "SELECT 1 -- don't\n, 2": "ok",
+        "SELECT '-- no; comment' AS `a;b`": "ok",
+        "SELECT try_reflect /* x */ ('a', 'b')": "unsafe_sql",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "sql string")
     got = {r["sql"]: r["v"] for r in rows.select("sql", audit.guard(F.col("sql")).alias("v")).collect()}
@@ -358,7 +368,7 @@ def test_statement_outcomes(spark):
         "db_id string, sql string",
     )
 
-    def register(session):
+    def register(session, db_id):
         session.range(20).createOrReplaceTempView("numbers")
 
     got = {r["sql"]: r for r in audit.run_statements(statements, register, max_rows=20).collect()}
@@ -371,6 +381,85 @@ def test_statement_outcomes(spark):
     assert (capped["status"], capped["row_count"]) == ("row_limit", 20)
 
 
+def test_number_keys_are_exact(spark):
+    def key(expression):
+        frame = spark.sql(f"SELECT {expression} AS v")
+        return frame.select(scoring.cell_key(F.col("v"), frame.schema["v"].dataType)).first()[0]
+
+    same = [
+        ("CAST(1e16 AS DOUBLE)", "10000000000000000"), ("1.50BD", "CAST(1.5 AS DOUBLE)"),
+        ("CAST(-0.0 AS DOUBLE)", "0"), ("CAST(0.00001 AS DOUBLE)", "0.000010BD"), ("-0.00BD", "0"),
+        ("CAST(12345678.912 AS DOUBLE)", "12345678.912BD"), ("100BD", "100"), ("true", "1"),
+    ]
+    for a, b in same:
+        assert key(a) == key(b), (a, b)
+    other = [
+        ("CAST('0.12345678901234567891' AS DECIMAL(38,20))", "CAST('0.12345678901234567892' AS DECIMAL(38,20))"),
+        ("9007199254740993", "CAST(9007199254740992 AS DOUBLE)"), ("1", "'1'"), ("10BD", "1BD"),
+    ]
+    for a, b in other:
+        assert key(a) != key(b), (a, b)
+
+
+def test_empty_results_agree(spark):
+    none = spark.createDataFrame([], "pair int, a string")
+    one = spark.createDataFrame([(1, "x")], none.schema)
+    pairs = spark.createDataFrame([(1,), (2,)], "pair int")
+    counts = scoring.compare_row_sets(one, none, ["pair"], ["a"], pairs)
+    got = counts.select("pair", scoring.execution_match(counts).alias("ex"), scoring.result_jaccard().alias("j")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0.0), (2, 1, 1.0)]
+
+
+def test_databases_are_apart_and_runs_resume(spark, tmp_path):
+    seen = []
+
+    def register(session, db_id):
+        seen.append(db_id)
+        session.range(3 if db_id == "a" else 8).createOrReplaceTempView("numbers")
+
+    one = spark.createDataFrame([("a", "SELECT id FROM numbers")], "db_id string, sql string")
+    both = one.unionAll(spark.createDataFrame([("b", "SELECT id FROM numbers")], one.schema))
+    path = str(tmp_path / "outcomes")
+    assert audit.run_statements(one, register, path=path).count() == 1
+    got = {r["db_id"]: r["row_count"] for r in audit.run_statements(both, register, path=path).collect()}
+    assert got == {"a": 3, "b": 8} and seen == ["a", "b"]
+
+
+def test_deadline_ends_the_statement(spark):
+    slow = "SELECT max(a.id * b.id) AS m FROM numbers a JOIN numbers b ON a.id % 10 = b.id % 10"
+    statements = spark.createDataFrame([("d", slow), ("d", "SELECT 1 AS x")], "db_id string, sql string")
+    started = time.time()
+    got = {
+        r["sql"]: r["status"] for r in audit.run_statements(
+            statements, lambda s, _: s.range(2_000_000).createOrReplaceTempView("numbers"), timeout_ms=3000
+        ).collect()
+    }
+    assert got == {slow: "timeout", "SELECT 1 AS x": "success"} and time.time() - started < 60
+
+
+def test_engine_errors_are_rows(spark, tmp_path):
+    good, bad = tmp_path / "t", tmp_path / "secret.txt"
+    spark.range(5).coalesce(1).write.parquet(str(good))
+    bad.write_text("not for you")
+
+    def register(session, db_id):
+        session.read.schema("id long").parquet(str(good)).createOrReplaceTempView("t")
+        for part in good.glob("*.parquet"):
+            part.write_bytes(b"PAR1 broken")
+
+    asked = {
+        "SELECT id FROM t": "database_open_error",
+        f"SELECT value FROM text.`{bad}`": "missing_table",
+        "SELECT id FROM t WHERE (": "syntax_error",
+    }
+    statements = spark.createDataFrame([("d", s) for s in asked], "db_id string, sql string")
+    got = {r["sql"]: r for r in audit.run_statements(statements, register).collect()}
+    assert {s: r["status"] for s, r in got.items()} == dict.fromkeys(asked, "execution_error")
+    assert all(r["error_message"] for r in got.values())
+    assert got["SELECT id FROM t"]["error_type"] == "database_open_error"
+    assert got["SELECT id FROM t WHERE ("]["error_type"] == "syntax_error"
+
+
 def test_truncation_keeps_the_start(spark):
     frame = spark.createDataFrame([("train", 10, 5, 15), ("train", 3, 4, 7)], "split string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint")
     got = tokens.truncation(frame, [8, 16]).orderBy("max_length").collect()
