@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from goldpan.llm import decontaminate, mixing, quality, simhash, token_files
+from goldpan.llm import decontaminate, mixing, near_documents, quality, simhash, token_files
 from goldpan.session import written
 
 
@@ -19,8 +19,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 3-word shingles, 2 differing bits."""
-    return simhash.first_of_each(docs, words=3, radius=2)
+    """One document of each group of near-duplicates: SimHash candidates within 5 bits by covering
+    masks, linked if 0.8 of their five-word shingles agree."""
+    return simhash.first_of_each(docs, near_documents.near_documents(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

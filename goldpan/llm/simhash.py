@@ -144,11 +144,14 @@ def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _dealt(rows: DataFrame, tables: Column) -> DataFrame:
-    """Rows per (table, kept bits), buckets together."""
+def _dealt(rows: DataFrame, masks: Column, first: Column) -> DataFrame:
+    """Rows per (table, kept bits), buckets together; tables are numbered from ``first`` on."""
     return (
-        rows.select(F.explode(tables).alias("_t"), "print")
-        .select("_t.part", "_t.kept", "print")
+        rows.select("print", first.alias("_first"), F.posexplode(masks))
+        .select(
+            (F.col("_first") + F.col("pos")).cast("int").alias("part"),
+            F.col("print").bitwiseAND(F.col("col")).alias("kept"), "print",
+        )
         .repartition("part", "kept")
         .sortWithinPartitions("part", "kept")
     )
@@ -167,24 +170,18 @@ def masked_links(
     ship(prints.sparkSession)
     schema = "part int, kept long, a long, b long"
 
-    def entry(number: int, mask: int) -> Column:
-        return F.struct(
-            F.lit(number).cast("int").alias("part"),
-            F.col("print").bitwiseAND(F.lit(_signed(mask))).alias("kept"),
-        )
-
-    first = F.array(*[entry(i, m) for i, m in enumerate(masks)])
-    found = written(_dealt(prints.select("print"), first).mapInArrow(_link(radius, bucket), schema), "links")
+    first = _dealt(prints.select("print"), F.lit([_signed(m) for m in masks]), F.lit(0))
+    found = written(first.mapInArrow(_link(radius, bucket), schema), "links")
     # Buckets over the limit: dealt again over the bits that they leave free.
-    choice, number = None, 0
-    for i, mask in enumerate(masks):
-        seconds = again([bit for bit in range(BITS) if not mask >> bit & 1])
-        table = F.array(*[entry(number + j, mask | m) for j, m in enumerate(seconds)])
-        number += len(seconds)
-        hit = F.col("part") == i
-        choice = F.when(hit, table) if choice is None else choice.when(hit, table)
+    fine = [
+        [_signed(mask | m) for m in again([bit for bit in range(BITS) if not mask >> bit & 1])]
+        for mask in masks
+    ]
+    width = max(map(len, fine))
     large = found.where(F.col("part").isNotNull()).select("part", F.col("a").alias("print"))
-    second = _dealt(large, choice).mapInArrow(_link(radius, None), schema)
+    second = _dealt(
+        large, F.element_at(F.lit(fine), F.col("part") + 1), F.col("part") * width
+    ).mapInArrow(_link(radius, None), schema)
     return found.where(F.col("part").isNull()).select("a", "b").unionAll(second.select("a", "b"))
 
 
@@ -235,16 +232,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     )
 
 
-def first_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id.
 
-    All columns are kept. If several rows share that doc_id, the first by the hash of all columns
-    stays. Rows with a null doc_id cannot be told apart by id; they stay.
+    ``found`` has doc_id and component_id of all rows. All columns are kept. If several rows share
+    that doc_id, the first by the hash of all columns stays. Rows with a null doc_id cannot be told
+    apart by id; they stay.
     """
-    kept = (
-        near_duplicates(docs.select("doc_id", "text"), words, radius)
-        .where("doc_id = component_id").select("doc_id").distinct()
-    )
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     same = Window.partitionBy("doc_id").orderBy(order)

@@ -9,7 +9,7 @@ import sys
 
 from test_decontaminate import plain as plain_marks
 from test_mixing import check_mix
-from test_simhash import plain_components, plain_fingerprint
+from test_near_documents import plain_near
 from test_token_files import plain_rows
 
 import __spark_entry__
@@ -42,7 +42,7 @@ def test_stages(spark):
     assert len(bad & {r["doc_id"] for r in left}) <= 0.25 * len(bad)
 
     given, left = kept["near_dedup"]
-    roots = plain_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in given}, 2)
+    roots = plain_near([(r["doc_id"], r["text"]) for r in given])
     assert sorted(r["doc_id"] for r in left) == sorted(set(roots.values()))
 
     given, left = kept["decontaminate"]

@@ -135,7 +135,7 @@ def test_near_duplicates_and_survivors(spark):
         else:
             assert r["fingerprint"] == format(prints[r["doc_id"]], "016x")
             assert r["component_id"] == want[r["doc_id"]]
-    stay = simhash.first_of_each(docs)
+    stay = simhash.first_of_each(docs, simhash.near_duplicates(docs))
     assert stay.columns == docs.columns
     ids = sorted(r["doc_id"] for r in stay.collect() if r["doc_id"] is not None)
     assert ids == sorted(set(want.values()))
