@@ -40,25 +40,37 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+#: Lower-case characters whose case fold is longer or another letter.
+_FOLDS = {
+    "ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
+    "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn",
+}
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Lower case with the folds above; texts without such characters take the short way."""
+    folded = lower = F.lower(c)
+    for letter, fold in _FOLDS.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(fold))
+    return F.when(lower.rlike("[" + "".join(_FOLDS) + "]"), folded).otherwise(lower)
 
 
 def _mark_table() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their base letters, by decomposition."""
+    """Lower-case letters with marks, of all scripts that use them, and their base letters."""
     marked, base = [], []
-    for code in (*range(0x00DF, 0x0250), *range(0x1E00, 0x1F00)):
+    for code in (*range(0x00DF, 0x0530), *range(0x1E00, 0x2000)):
         letter = chr(code)
-        parts = unicodedata.normalize("NFD", letter)
-        if letter.islower() and len(parts) > 1 and parts[0].isascii():
+        first, *rest = unicodedata.normalize("NFD", letter)
+        if letter.islower() and rest and all(unicodedata.combining(m) for m in rest):
             marked.append(letter)
-            base.append(parts[0])
+            base.append(first)
     return "".join(marked), "".join(base)
 
 
 def strip_marks(c: Column) -> Column:
+    """Base letters of composed and of decomposed letters."""
     marked, base = _mark_table()
-    return F.translate(c, marked, base)
+    return F.regexp_replace(F.translate(c, marked, base), "[\u0300-\u036f]+", "")
 
 
 def search_tokens(c: Column) -> Column:
@@ -111,6 +123,7 @@ def extract_sql(raw: Column) -> Column:
     text = strip(raw)
     none = F.lit("")
     failed = _extraction(none, "failed", False, none)
+    # The patterns must equal the reference for matching results.
     fenced = r"(?is)\A```sql[ \t]*\r?\n(.*?)\r?\n```\z"
     generic = r"(?s)\A```[ \t]*\r?\n(.*?)\r?\n```\z"
 

@@ -321,6 +321,12 @@ def apply_names(columns: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def unmapped_names(columns: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The columns that ``apply_names`` leaves out, as they have no live spelling."""
+    names = ["db_id", "table_name", "column_name"]
+    return columns.join(mapping, names, "left_anti").withColumn("issue", F.lit("unmapped_column"))
+
+
 def apply_names_to_keys(foreign_keys: DataFrame, mapping: DataFrame) -> DataFrame:
     """Foreign keys under their live spelling, repeats dropped, first one kept."""
     def renamed(frame: DataFrame, role: str) -> DataFrame:

@@ -63,6 +63,11 @@ def build_plain(samples: DataFrame, schema_text: DataFrame) -> DataFrame:
     )
 
 
+def without_schema(samples: DataFrame, schema_text: DataFrame) -> DataFrame:
+    """The samples that neither builder can give a prompt: no schema text of their database."""
+    return samples.join(schema_text, "db_id", "left_anti").withColumn("issue", F.lit("missing_schema"))
+
+
 def build_grounded(samples: DataFrame, schema_text: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """As ``build_plain`` with the retrieved lines; ``hits`` holds (key, position, line).
 

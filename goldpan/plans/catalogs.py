@@ -323,6 +323,22 @@ def _(t: Tables):
     )
 
 
+_SOME = "ordinal % 5 <> 2"
+
+
+@query(
+    "b14_unmapped_names",
+    with_(CATALOG, _MAPPING)
+    + f"""SELECT c.db_id, c.table_name, c.column_name, c.ordinal, 'unmapped_column' AS issue FROM catalog c
+WHERE NOT EXISTS (SELECT 1 FROM mapping m JOIN catalog k USING (db_id, table_name, column_name)
+  WHERE k.{_SOME} AND m.db_id = c.db_id AND m.table_name = c.table_name AND m.column_name = c.column_name)""",
+)
+def _(t: Tables):
+    catalog, names = inputs.catalog(t), ["db_id", "table_name", "column_name"]
+    known = _mapping(t).join(catalog.where(_SOME).select(*names), names, "left_semi")
+    return cat.unmapped_names(catalog, known).select(*names, "ordinal", "issue")
+
+
 @query(
     "b14_apply_names_to_keys",
     with_(CATALOG, CATALOG_FK, _MAPPING)

@@ -169,6 +169,17 @@ def _(t: Tables):
     )
 
 
+@query(
+    "f06_missing_schema",
+    with_(SAMPLES, _SCHEMAS)
+    + """SELECT s.sample_id, s.db_id, 'missing_schema' AS issue FROM samples s
+WHERE s.db_id NOT IN (SELECT db_id FROM schemas WHERE db_id NOT LIKE '%7')""",
+)
+def _(t: Tables):
+    some = _schemas(t).where("db_id NOT LIKE '%7'")
+    return datasets.without_schema(inputs.samples(t), some).select("sample_id", "db_id", "issue")
+
+
 _TEACHER = """concat(content, chr(10), chr(10), 'Verified Gold SQL (reference only):', chr(10),
   '<GOLD_SQL>', chr(10), gold_sql, chr(10), '</GOLD_SQL>')"""
 
