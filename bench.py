@@ -19,6 +19,8 @@ from goldpan.session import local_session  # noqa: E402
 HEADLINE = [
     "a01_jsonl_scan", "a08_verified_publish",
     "b07_primary_keys", "b11_name_matching", "b15_object_counts", "b19_integrity", "b20_schema_text",
+    "b08_foreign_keys", "b21_description_files", "b22_column_descriptions", "d01_audited_run",
+    "d02_batch_audit", "e11_column_rollup", "e12_top_columns", "h06_screening_summary",
     "c02_unique_key", "c04_positional_order", "c07_reference_match", "c13_message_shape",
     "d05_read_only_guard", "d11_exclusion_cascade", "d12_reward_manifest",
     "e02_bounded_scan", "e07_index_build", "e10_bm25", "e13_grounding_lines",
