@@ -99,18 +99,36 @@ def pattern_quotas(
 ) -> list[int]:
     """Words to take of each pattern (members, size): the cheapest flow that fills the targets,
     pass k over a pattern costing k per word."""
-    first_source = 1 + len(patterns)
-    end = first_source + len(targets)
-    arcs = []
-    for p, (members, size) in enumerate(patterns):
-        arcs += [(0, 1 + p, size, k + 1) for k in range(passes)]
-        arcs += [(1 + p, first_source + s, passes * size, 0) for s in members]
-    arcs += [(first_source + s, end, round(t), 0) for s, t in enumerate(targets)]
-    flow = min_cost_flow(end + 1, arcs, 0, end)
+    # Patterns that share no source, directly or through others, are networks of their own.
+    part = list(range(len(targets)))
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            part[find(s)] = find(members[0])
+    networks: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        if members:
+            networks.setdefault(find(members[0]), []).append(p)
     quotas = [0] * len(patterns)
-    for (a, b, _, _), f in zip(arcs, flow):
-        if a == 0:
-            quotas[b - 1] += f
+    for own in networks.values():
+        sources = sorted({s for p in own for s in patterns[p][0]})
+        place = {s: 1 + len(own) + i for i, s in enumerate(sources)}
+        end = 1 + len(own) + len(sources)
+        arcs = []
+        for i, p in enumerate(own):
+            members, size = patterns[p]
+            arcs += [(0, 1 + i, size, k + 1) for k in range(passes)]
+            arcs += [(1 + i, place[s], passes * size, 0) for s in members]
+        arcs += [(place[s], end, round(targets[s]), 0) for s in sources]
+        for (a, b, _, _), f in zip(arcs, min_cost_flow(end + 1, arcs, 0, end)):
+            if a == 0:
+                quotas[own[b - 1]] += f
     return quotas
 
 
