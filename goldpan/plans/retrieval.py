@@ -14,27 +14,32 @@ _FOLD = "replace(lower({}), 'ß', 'ss')"
 _TOKENS = "regexp_extract_all(strip_accents(" + _FOLD + r"), '[\p{{L}}\p{{N}}]+')"
 _LINE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
-# name -> (numeric total order, string columns)
+#: A numeric total order of each table that has searchable columns.
+KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
+    "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "conversations": ["conv_id", "turn"],
+}
+#: What E01 finds searchable in them, for the checking SQL; the queries ask the live schema.
 SCANNED = {
-    "region": (["r_regionkey"], ["r_name"]),
-    "nation": (["n_nationkey"], ["n_name"]),
-    "customer": (["c_custkey"], ["c_name", "c_mktsegment"]),
-    "supplier": (["s_suppkey"], ["s_name"]),
-    "part": (["p_partkey"], ["p_name", "p_brand", "p_type"]),
-    "orders": (["o_orderkey"], ["o_orderstatus", "o_orderpriority"]),
-    "lineitem": (
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
-        ["l_returnflag", "l_linestatus"],
-    ),
-    "events": (["event_id"], ["event_type"]),
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"],
+    "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus", "l_shipdate"], "events": ["ts", "event_type", "props"],
+    "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"],
+    "conversations": ["role", "text"],
 }
+#: Declared type of the live column types, by which E01 judges.
+DECLARED = {"string": "VARCHAR", "date": "DATE", "timestamp": "DATETIME", "timestamp_ntz": "DATETIME"}
 
 
 def _scan_sql(name: str, column: str) -> str:
-    order = ", ".join(SCANNED[name][0])
+    order = ", ".join(KEYS[name])
     return (
         f"SELECT '{name}' AS table_name, '{column}' AS column_name, CAST(row_number() OVER "
-        f"(ORDER BY {order}) AS INTEGER) AS scan_order, {column} AS value FROM {name} "
+        f"(ORDER BY {order}) AS INTEGER) AS scan_order, CAST({column} AS VARCHAR) AS value FROM {name} "
         f"WHERE {column} IS NOT NULL QUALIFY scan_order <= 5000"
     )
 
@@ -42,7 +47,7 @@ def _scan_sql(name: str, column: str) -> str:
 _SCAN = (
     "scanned AS ("
     + " UNION ALL ".join(
-        f"SELECT * FROM ({_scan_sql(n, c)})" for n, (_, cols) in SCANNED.items() for c in cols
+        f"SELECT * FROM ({_scan_sql(n, c)})" for n, cols in SCANNED.items() for c in cols
     )
     + ")"
 )
@@ -64,7 +69,13 @@ _PER_COLUMN = """per_column AS (SELECT s.table_name, s.column_name,
 
 
 def _frames(t: Tables):
-    return {n: (getattr(t, n), order, cols) for n, (order, cols) in SCANNED.items()}
+    frames = {}
+    for name, order in KEYS.items():
+        table = getattr(t, name)
+        kinds = {c: DECLARED.get(k, "") for c, k in table.dtypes}
+        searchable = [c for c, k in kinds.items() if any(m in k for m in text.VALUE_TYPE_MARKERS)]
+        frames[name] = (table, order, searchable)
+    return frames
 
 
 def _scanned(t: Tables):
