@@ -85,10 +85,11 @@ def near_documents(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
         prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("print").alias("print")), "texts"
     )
     classes = texts.groupBy("print").agg(F.count("*").alias("_rows"))
-    active = clustered(texts, classes, links(classes, radius), chunk)
-    one = F.col("doc_id").eqNullSafe(F.col("first"))
+    active = clustered(texts, classes, links(classes, radius), chunk).withColumnRenamed("digest", "_of")
+    # Joined by text and id, so the copies of a text spread over tasks and one of them is read.
+    one = (F.col("digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("first"))
     rows = (
-        keyed.join(active, "digest").where(one)
+        keyed.join(active, one)
         .select("cluster", "chunks", "digest", "print", "text")
         .mapInArrow(_shingle_rows, "cluster long, chunks long, digest binary, print long, grams array<long>")
     )
