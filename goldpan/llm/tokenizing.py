@@ -8,8 +8,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept per worker; when full the cache starts anew.
-CACHE = 600_000
+#: Pieces kept per worker (about 250 bytes each); when full the cache starts anew.
+CACHE = 1_200_000
 LONGEST = 64
 #: Before a space that follows a non-space every token ends, so texts may be cut there.
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -56,6 +56,8 @@ class Encoder:
         word = _WORD.fullmatch(text)
         if word is None:
             return self._plain(" " + text)
+        if word[2] and (known := self.pieces.get(word[1])) is not None:
+            return known + self.marks[word[2]]
         spelled = (" " + word[1]).encode().decode("latin-1").translate(self.characters)
         ids = [token.id for token in self.model.tokenize(spelled)]
         return np.array(ids, self.kind).tobytes() + self.marks[word[2]]
