@@ -86,8 +86,9 @@ def later_occurrences(units: DataFrame, kept: DataFrame) -> DataFrame:
     """
     own = (F.col("key") == F.col("keeper.k")) & (F.col("place") == F.col("keeper.p"))
     return (
-        units.select("key", "place", "digest").distinct().join(kept, "digest").where(~own)
-        .groupBy("key").agg(F.collect_list("place").alias("places"))
+        units.select("key", "place", "digest").join(kept, "digest").where(~own)
+        # A set, since repeated rows of one document bring their places again.
+        .groupBy("key").agg(F.collect_set("place").alias("places"))
     )
 
 
