@@ -145,4 +145,4 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_fuzzy_lines")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.remove_fuzzy(_table(spark, sf_dir, "documents"), least_words=5)
+    return fuzzy_lines.remove_fuzzy(_table(spark, sf_dir, "documents"), least_words=5, bands=True)

@@ -74,6 +74,20 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     ]
 
 
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 256), np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Signed MinHash keys of a set of 64-bit hashes: sets of Jaccard similarity s agree on a key
+    with probability s^rows, and on any of them with 1 - (1 - s^rows)^bands."""
+    low = np.full(bands * rows, ~np.uint64(0))
+    for start in range(0, len(hashes), STEP // 8):
+        part = hashes[start : start + STEP // 8, None] * _ODD[0, : bands * rows]
+        low = np.minimum(low, part.min(axis=0))
+    low ^= low >> np.uint64(29)
+    return (low * _ODD[1, : bands * rows]).reshape(bands, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
