@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: SimHash candidates within 5 bits by covering
-    masks, linked if 0.8 of their five-word shingles agree."""
+    masks and texts with a common MinHash key, linked if 0.8 of their five-word shingles agree."""
     return simhash.first_of_each(docs, near_documents.near_documents(docs))
 
 
