@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from goldpan.llm import line_dedup, lines
+from goldpan.llm import line_dedup, lines, plans
 
 
 def plain(rows, least):
@@ -76,3 +76,11 @@ def test_repeated_passages_go_and_short_lines_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert run(spark, rows, 50) == plain(rows, 50)
+
+
+def test_query_removes_every_later_line(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    found = plans.QUERIES["op6_line_dedup"](spark, folder).collect()
+    got = sorted(((r["doc_id"], [tuple(s) for s in r["removed"]], r["text"]) for r in found), key=str)
+    assert got == plain(rows, 0) != plain(rows, 50)
