@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fuzzy_lines, kdtree, line_dedup, mixing, quality, simhash, token_files, topk
+from . import (
+    chat, decontaminate, fuzzy_lines, kdtree, line_dedup, mixing, piece_encoding, quality, simhash,
+    token_files, topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten can be told in DuckDB's SQL with the same hashes, models or formats except
@@ -146,3 +149,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_fuzzy_lines")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.remove_fuzzy(_table(spark, sf_dir, "documents"), least_words=5, bands=True)
+
+
+@_query("op12_pieces")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.digests(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
