@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ _MARK = MARK.encode()
 #: Cuts kept per worker (about 250 bytes each); when full the cache starts anew.
 CACHE = 800_000
 LONGEST = 64
-#: An output batch is closed once its arrays or texts hold so many bytes.
-BATCH_BYTES = 4 << 20
+#: Texts of so many characters are encoded, and ids of so many bytes decoded, at once.
+TEXT_BYTES = 1 << 20
 
 
 # --- the model file ---------------------------------------------------------------------------
@@ -243,33 +245,39 @@ class Encoder:
         #: Whether every piece has its space marks in front only.
         self.cuts = all(MARK not in text.lstrip(MARK) for text, _ in pieces)
         self._split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known = _Cuts(self.merges)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, cuts: set[str]) -> None:
+        """Merge the cuts that are not known in one call of the library."""
+        new = [c for c in cuts if c not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(cuts)
+        for cut, ids in zip(new, self.merges.encode(new, num_threads=1) if new else []):
+            self.known[cut] = array("i", ids).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, first source byte, source byte behind) of the pieces of each text; none for null or
+        empty. Called for a few texts at a time."""
+        normal = [self.normalize(text or "") for text in texts]
+        cuts = [self._split.findall(t) if self.cuts else [t] * bool(t) for t, _ in normal]
+        distinct = set(chain.from_iterable(cuts))
+        self._learn(distinct)
+        out = []
+        for parts, (_, origin) in zip(cuts, normal):
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32)
+            edges = np.r_[0, np.cumsum(self.width[ids])]
+            if edges[-1] != len(origin) - 1:
+                raise ValueError("pieces do not cover the normalised text")
+            at = origin[edges].astype(np.int32)
+            out.append((ids, at[:-1], at[1:]))
+        for cut in distinct:
+            if len(cut) > LONGEST:
+                del self.known[cut]
+        return out
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first source byte, source byte behind) of each piece; none for null or empty."""
-        normal, origin = self.normalize(text or "")
-        if not normal:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cuts = self._split.findall(normal) if self.cuts else [normal]
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, cuts)), np.int32)
-        ends = np.cumsum(self.width[ids])
-        if ends[-1] != len(origin) - 1:
-            raise ValueError("pieces do not cover the normalised text")
-        return ids, origin[np.r_[0, ends[:-1]]], origin[ends]
-
-
-class _Cuts(dict):
-    def __init__(self, merges: sentencepiece.SentencePieceProcessor) -> None:
-        super().__init__()
-        self.merges = merges
-
-    def __missing__(self, text: str) -> bytes:
-        ids = np.array(self.merges.encode(text), np.int32).tobytes()
-        if len(text) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[text] = ids
-        return ids
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -294,6 +302,19 @@ def _free(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def _grouped(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first, texts) of neighbours that hold ``most`` characters or one text."""
+    first, held, some = 0, 0, []
+    for i, text in enumerate(texts):
+        some.append(text.as_py())
+        held += len(some[-1] or "")
+        if held >= most:
+            yield first, some
+            first, held, some = i + 1, 0, []
+    if some:
+        yield first, some
+
+
 def _encode_rows(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
@@ -304,20 +325,13 @@ def _encode_rows(path: str, at: int):
                 lists = []
                 for which in zip(*found):
                     ends = np.cumsum([0, *map(len, which)], dtype=np.int32)
-                    values = pa.array(np.concatenate(which).astype(np.int32))
+                    values = pa.array(np.concatenate(which))
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), values))
                 rows = batch.slice(first, upto - first)
                 return pa.RecordBatch.from_arrays([*rows.columns, *lists], names)
 
-            first, held, found = 0, 0, []
-            for i in range(len(texts)):
-                found.append(tool.encode(texts[i].as_py()))
-                held += 12 * len(found[-1][0])
-                if held >= BATCH_BYTES:
-                    yield close(first, i + 1, found)
-                    first, held, found = i + 1, 0, []
-            if found:
-                yield close(first, len(texts), found)
+            for first, some in _grouped(texts, TEXT_BYTES):
+                yield close(first, first + len(some), tool.encode_all(some))
 
     return run
 
@@ -343,21 +357,15 @@ def _decode_rows(path: str, at: int):
         library = encoder(path).library
         for batch in batches:
             lists, names = batch.column(at), [*batch.schema.names, "decoded"]
-            first, held, texts = 0, 0, []
-
-            def close(first: int, texts: list[str]) -> pa.RecordBatch:
-                rows = batch.slice(first, len(texts))
-                return pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names)
-
-            for i in range(len(lists)):
-                ids = lists[i].as_py() if lists[i].is_valid else None
-                texts.append(library.decode(ids) if ids else "")
-                held += len(texts[-1]) + 4 * len(ids or ())
-                if held >= BATCH_BYTES:
-                    yield close(first, texts)
-                    first, held, texts = i + 1, 0, []
-            if texts:
-                yield close(first, texts)
+            edges = lists.offsets.to_numpy() * lists.values.type.byte_width
+            first = 0
+            while first < len(lists):
+                upto = max(int(np.searchsorted(edges, edges[first] + TEXT_BYTES)), first + 1)
+                rows = batch.slice(first, min(upto, len(lists)) - first)
+                ids = [row.values.to_numpy().tolist() if row.is_valid else [] for row in rows.column(at)]
+                texts = pa.array(library.decode(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts], names)
+                first += len(ids)
 
     return run
 

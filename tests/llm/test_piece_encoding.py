@@ -56,6 +56,16 @@ def test_spans_follow_each_other():
             assert (starts[1:] == ends[:-1]).all()
 
 
+def test_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(pe, "CACHE", 20)
+    with open(PATH, "rb") as file:
+        tool = pe.Encoder(file.read())
+    texts = random_texts(60, 5) + TEXTS
+    together = tool.encode_all(texts)
+    assert all((a[0] == tool.encode(t)[0]).all() for a, t in zip(together, texts))
+    assert all(len(cut) <= pe.LONGEST for cut in tool.known)
+
+
 def test_longest_entry_wins():
     made = sentencepiece.SentencePieceNormalizer(rule_name="nfkc")
     spec = made.serialized_normalizer_spec()
@@ -67,7 +77,7 @@ def test_longest_entry_wins():
 
 
 def test_frames(spark, monkeypatch):
-    monkeypatch.setattr(pe, "BATCH_BYTES", 64)
+    monkeypatch.setattr(pe, "TEXT_BYTES", 64)
     texts = [*TEXTS, None, "same", "same", "long " * 40000]
     rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(None, "no id", "x", 0), (3, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, IDS string, decoded int").repartition(3)
