@@ -29,7 +29,7 @@ from .package import ship
 MARK = "▁"
 _MARK = MARK.encode()
 #: Cuts kept per worker (about 250 bytes each); when full the cache starts anew.
-CACHE = 800_000
+CACHE = 500_000
 LONGEST = 64
 #: Texts of so many characters are encoded, and ids of so many bytes decoded, at once.
 TEXT_BYTES = 1 << 20

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, decontaminate, fuzzy_lines, kdtree, line_dedup, mixing, piece_encoding, quality, simhash,
-    token_files, topk,
+    chat, conversation_trie, decontaminate, fuzzy_lines, kdtree, line_dedup, mixing, piece_encoding, quality,
+    ranked_search, simhash, token_files, topk,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,80 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.digests(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, CAST(coalesce(role, '') AS VARCHAR) AS r, CAST(coalesce(text, '') AS VARCHAR) AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(list_reduce(range(0, 8 * strlen(CAST(conv_id AS VARCHAR))), lambda c, i:
+      xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1))) ELSE c END) >> 1,
+        3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(CAST(conv_id AS VARCHAR), i // 8 + 1, 1))) ELSE c END) & 1)),
+      4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, b.p, b.r, b.x FROM convs c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5 AND b.p <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.p, t.r, t.x FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.p > c.h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d,
+    sha256(concat(length(r), ':', r, x)) AS k, strlen(x) AS b FROM rebuilt),
+paths AS (
+  SELECT conv_id, d, b, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (SELECT key, d, any_value(b) AS b, count(*) AS n, min(conv_id) AS id FROM paths GROUP BY key, d),
+children AS (SELECT left(key, CAST(64 * (d - 1) AS BIGINT)) AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+valued AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS c, (nodes.n - 1) * b AS s FROM nodes LEFT JOIN children USING (key)),
+sums AS (
+  SELECT left(key, CAST(64 * i AS BIGINT)) AS key, sum(CASE WHEN c = 0 THEN 1 ELSE 0 END) AS l, sum(s) AS s
+  FROM valued, unnest(range(0, d + 1)) AS u(i) GROUP BY 1),
+ends AS (
+  SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS e
+  FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE d = last GROUP BY key)
+SELECT v.id AS conv_id, v.d AS depth, up.id AS parent_conv_id, v.n AS n_convs, v.c AS n_children,
+  CAST(sums.l AS BIGINT) AS n_leaves, CAST(sums.s AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM valued v JOIN sums USING (key) LEFT JOIN ends USING (key)
+  LEFT JOIN nodes up ON v.d > 0 AND up.key = left(v.key, CAST(64 * (v.d - 1) AS BIGINT)) AND up.d = v.d - 1
+"""
+
+
+@_query("op13_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"), family=5, most=8)
+
+
+OP11_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS iid, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+terms AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM split) GROUP BY rid, term),
+counts AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+whole AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM split),
+sizes AS (SELECT rid, doc_id, 100 - 25 + (25 * len(w) * whole.n) // whole.l AS m FROM split, whole WHERE len(w) > 0),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counts, whole),
+asked AS (SELECT iid, item_id, unnest(w) AS term FROM items),
+scores AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN terms USING (term) JOIN sizes USING (rid) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+    doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@_query("op11_lexical", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20
+    )
