@@ -27,6 +27,8 @@ from .package import ship
 
 BAND = 8
 KEY_BYTES = 16
+#: Neighbouring conv_ids that are written out together (fewer than twice as many around 0).
+PART = 4096
 NOTHING = hashlib.sha256().hexdigest()
 
 
@@ -170,17 +172,17 @@ def rolled_up(levels: list[DataFrame], nodes: DataFrame, values: list[str]) -> D
 
 
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, conv_id) rows to one digest per key, holding one batch and one state."""
+    """Sorted (key, part, ids) rows to one digest per key, holding one batch and one state."""
     key, state, found = None, None, ([], [])
     for batch in batches:
-        for this, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for this, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if this != key:
                 if state is not None:
                     found[0].append(key)
                     found[1].append(state.hexdigest())
-                key, state = this, hashlib.sha256(str(number).encode())
+                key, state = this, hashlib.sha256(ids.encode())
             else:
-                state.update(f",{number}".encode())
+                state.update(f",{ids}".encode())
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1])], ["key", "ends_sha256"])
             found = ([], [])
@@ -189,10 +191,15 @@ def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
-    """key, ends_sha256 of the conv_ids of each key, ascending and comma-joined. The digest is
-    sequential by its definition: a key's ids are streamed through one task, never held."""
+    """key, ends_sha256 of the conv_ids of each key, ascending and comma-joined.
+
+    Neighbouring ids are written out in parts of at most ``PART`` first. The digest is sequential by
+    its definition, so the parts of a key are streamed through one task; they are never held.
+    """
     ship(ends.sparkSession)
-    rows = ends.select("key", "conv_id").repartition("key").sortWithinPartitions("key", "conv_id")
+    ids = F.transform(F.sort_array(F.collect_list("conv_id")), lambda i: i.cast("string"))
+    parts = ends.groupBy("key", F.expr(f"conv_id div {PART}").alias("part")).agg(F.array_join(ids, ",").alias("ids"))
+    rows = parts.repartition("key").sortWithinPartitions("key", "part")
     return rows.mapInArrow(_hash_ids, "key binary, ends_sha256 string")
 
 

@@ -15,12 +15,13 @@ LEAST_WORDS = 50
 def remove_repeated(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_units, n_removed, removed, kept, text of every row.
 
-    Units (lines, or paragraphs between blank lines) are normalised (lower case, white space as
-    single spaces) and grouped by a 128-bit digest over all documents. The occurrence with the
-    smallest (doc_id, document, place) stays, nulls last. A later one is removed if the run of later
-    ones that it stands in, blank units passed over, has ``least_words`` words: 50 catch repeated
-    passages whatever their line breaks and leave short common lines alone; 0 removes every later
-    unit. ``removed`` and ``kept`` are spans of the original text in code points.
+    Units (lines; paragraphs between blank lines; or sentences, which are lines cut further behind
+    ``.``, ``!`` and ``?``) are normalised (lower case, white space as single spaces) and grouped by a
+    128-bit digest over all documents. The occurrence with the smallest (doc_id, document, place)
+    stays, nulls last. A later one is removed if the run of later ones that it stands in, blank units
+    passed over, has ``least_words`` words: 0 removes every later unit, more leave short units alone
+    that many documents share by chance. ``removed`` and ``kept`` are spans of the original text in
+    code points.
 
     Null texts have no units and stay null; documents that are removed whole are empty; rows with
     equal doc_id and text are one document and are returned alike as often as they occur.

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-UNITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+UNITS = {
+    "line": re.compile(r"\n"),
+    "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
+    # Lines, cut further after the end of a sentence.
+    "sentence": re.compile(r"\n|(?<=[.!?])[ \t]+"),
+}
+#: What stands between kept units; sentences keep what stood behind them.
+_MARKS = {"line": "\n", "paragraph": "\n\n"}
 
 
 def cut(text: str | None, unit: str) -> list[tuple[int, int]]:
@@ -25,6 +32,17 @@ def cut(text: str | None, unit: str) -> list[tuple[int, int]]:
     return spans
 
 
+def rejoin(text: str, spans: list[tuple[int, int]], removed: set[int], unit: str) -> str:
+    """The text without the removed units."""
+    if not removed:
+        return text
+    stay = [p for p in range(len(spans)) if p not in removed]
+    if unit in _MARKS:
+        return _MARKS[unit].join(text[spans[p][0] : spans[p][1]] for p in stay)
+    behind = [start for start, _ in spans[1:]] + [len(text)]
+    return "".join(text[spans[p][0] : spans[p][1] if p == stay[-1] else behind[p]] for p in stay)
+
+
 def normalise(unit: str) -> str:
     """Lower case, white space as single spaces."""
     return " ".join(unit.lower().split())
@@ -119,12 +137,11 @@ def _assemble_rows(unit: str, least_words: int):
                         if words >= least_words:
                             removed.update(run_places)
                         run_places, words = [], 0
-                stay = [s for p, s in enumerate(spans) if p not in removed]
+                stay = [s for p, s in enumerate(spans) if p not in removed]  # blank units too
                 counts.append(n_units)
                 gone.append([{"start": spans[p][0], "end": spans[p][1]} for p in sorted(removed)])
                 kept.append([{"start": a, "end": b} for a, b in stay])
-                mark = "\n" if unit == "line" else "\n\n"
-                texts.append(text if not removed else mark.join(text[a:b] for a, b in stay))
+                texts.append(rejoin(text, spans, removed, unit))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(counts, pa.int32()), pa.array(gone, spans_type),

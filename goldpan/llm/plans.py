@@ -143,7 +143,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated(_table(spark, sf_dir, "documents"), "line", least_words=0)
+    return line_dedup.remove_repeated(_table(spark, sf_dir, "documents"), "sentence", least_words=16)
 
 
 @_query("op3_fuzzy_lines")

@@ -88,6 +88,12 @@ def test_turnless_and_empty(spark):
     ]
 
 
-def test_ids_without_family_zero_and_negative(spark):
+def test_ids_without_family_zero(spark):
     rows = [(c, t, "user", str(t % 3)) for c in (2, 3, 4, 7, 1000003) for t in range(10)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_ids_of_a_node_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PART", 7)
+    rows = [(5 * c, 0, "user", "same") for c in range(0, 200, 3)] + [(5 * c, 0, "user", "other") for c in range(1, 90, 3)]
+    assert run(spark, rows) == plain(rows)

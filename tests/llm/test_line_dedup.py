@@ -4,15 +4,34 @@ import random
 
 from pyspark.sql import functions as F
 
-from goldpan.llm import line_dedup, lines, plans
+from goldpan.llm import line_dedup, plans
 
 
-def plain(rows, least):
+def cut_by_hand(text, unit):
+    """(units, what stands behind each) without a pattern."""
+    units, behind, start, at = [], [], 0, 0
+    while at < len(text):
+        end = at
+        if unit == "sentence" and at and text[at - 1] in ".!?":
+            while end < len(text) and text[end] in " \t":
+                end += 1
+        if end == at and text[at] == "\n":
+            end = at + 1
+        if end > at:
+            units.append(text[start:at])
+            behind.append(text[at:end])
+            start = at = end
+        else:
+            at += 1
+    return [*units, text[start:]], [*behind, ""]
+
+
+def plain(rows, least, unit="line"):
     """One pass over the documents in rank order."""
     units = []
     for doc_id, text in {r: 0 for r in rows}:
-        for place, (a, b) in enumerate(lines.cut(text, "line")):
-            clean = " ".join((text or "")[a:b].lower().split())
+        for place, part in enumerate(cut_by_hand(text or "", unit)[0]):
+            clean = " ".join(part.lower().split())
             if clean:
                 units.append((doc_id is None, doc_id or 0, place, (doc_id, text), clean))
     first = {}
@@ -24,7 +43,7 @@ def plain(rows, least):
         if text is None:
             out.append((doc[0], [], None))
             continue
-        cut = text.split("\n")
+        cut, behind = cut_by_hand(text, unit)
         later = [
             bool(u.strip()) and first[" ".join(u.lower().split())] != (doc, p) for p, u in enumerate(cut)
         ]
@@ -40,14 +59,16 @@ def plain(rows, least):
         spans, at = [], 0
         for p, u in enumerate(cut):
             spans.append((at, at + len(u)))
-            at += len(u) + 1
-        out.append((doc[0], [spans[p] for p in sorted(gone)], "\n".join(u for p, u in enumerate(cut) if p not in gone)))
+            at += len(u) + len(behind[p])
+        stay = [p for p in range(len(cut)) if p not in gone]
+        rest = "".join(cut[p] + (behind[p] if p != stay[-1] else "") for p in stay)
+        out.append((doc[0], [spans[p] for p in sorted(gone)], text if not gone else rest))
     return sorted(out, key=str)
 
 
-def run(spark, rows, least):
+def run(spark, rows, least, unit="line"):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("places", F.lit(1))
-    found = line_dedup.remove_repeated(frame.repartition(4), least_words=least).collect()
+    found = line_dedup.remove_repeated(frame.repartition(4), unit, least_words=least).collect()
     for r in found:
         assert r["n_removed"] == len(r["removed"])
     return sorted(((r["doc_id"], [tuple(s) for s in r["removed"]], r["text"]) for r in found), key=str)
@@ -72,15 +93,43 @@ def test_paragraphs(spark):
     assert [text[a:b] for a, b in found[1]["kept"]] == ["One two\nthree", "Four five ", "six"]
 
 
-def test_repeated_passages_go_and_short_lines_stay(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert run(spark, rows, 50) == plain(rows, 50)
+def test_sentences_against_one_pass(spark):
+    rng = random.Random(2)
+    pool = ["One two.", "Is it?  ", "no end", "A b c d e f g h!", "", "...", "x. y", "Zz!\n", " \t", "mr. x said é."]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "\t", ""]) for _ in range(rng.randint(0, 9)))) for i in range(90)]
+    rows += [(100, None), (101, ""), (102, "."), (None, "One two. only here"), (7, rows[7][1])]
+    for least in (0, 4, 16):
+        assert run(spark, rows, least, "sentence") == plain(rows, least, "sentence")
+    assert run(spark, [], 0, "sentence") == []
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    """Passages of over 50 words amid other text, with other line breaks around and inside them."""
+    rng = random.Random(5)
+    words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "lm", "")]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(5, 14))).capitalize() + "."
+    passages = [[sentence() for _ in range(8)] for _ in range(12)]
+    assert all(sum(len(s.split()) for s in p) > 50 for p in passages)
+    rows, planted, clean = [], {}, set()
+    for doc in range(240):
+        body = [sentence() for _ in range(rng.randint(6, 20))] + ["All rights reserved."]
+        if doc % 4 == 0:
+            number, at = rng.randrange(len(passages)), rng.randrange(len(body))
+            body[at:at] = passages[number]
+            planted.setdefault(number, []).append(doc)
+        else:
+            clean.add(doc)
+        rows.append((doc, "".join(s + rng.choice([" ", " ", " ", "\n"]) for s in body)))
+    gone = {doc: text for doc, removed, text in run(spark, rows, 16, "sentence") if removed}
+    later = [(number, doc) for number, docs in planted.items() for doc in sorted(docs)[1:]]
+    assert len(later) > 40 and all(doc in gone for _, doc in later) and not clean & set(gone)
+    for number, doc in later:
+        assert not any(s in gone[doc] for s in passages[number])  # whole passages, not parts
 
 
-def test_query_removes_every_later_line(spark):
+def test_query_removes_repeated_sentences(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     found = plans.QUERIES["op6_line_dedup"](spark, folder).collect()
     got = sorted(((r["doc_id"], [tuple(s) for s in r["removed"]], r["text"]) for r in found), key=str)
-    assert got == plain(rows, 0) != plain(rows, 50)
+    assert got == plain(rows, 16, "sentence")
