@@ -74,14 +74,16 @@ def strip_marks(c: Column) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    """Index tokens: runs of letters and digits, folded, without marks."""
-    return F.regexp_extract_all(
-        strip_marks(casefold(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)
-    )
+    """Index tokens: runs of letters and digits, folded, without marks. Texts of ASCII characters
+    alone, which need no folds, take the short way."""
+    plain = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    folded = F.regexp_extract_all(strip_marks(casefold(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(folded)
 
 
-def query_terms(question: Column, evidence: Column) -> Column:
-    """Distinct search terms of a question, in order of first appearance."""
+def query_phrases(question: Column, evidence: Column) -> Column:
+    """Distinct search terms of a question in order of first appearance, each (term, tokens): a term
+    such as first_name is a phrase whose tokens have to stand next to each other."""
     text = casefold(F.concat_ws(" ", question, evidence))
     words = F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
     words = F.transform(words, lambda w: F.regexp_replace(w, "^_+|_+$", ""))
@@ -91,8 +93,14 @@ def query_terms(question: Column, evidence: Column) -> Column:
         & ~w.isin(QUERY_STOP_WORDS)
         & ((F.length(w) > 1) | w.rlike(r"^\p{Nd}$")),
     )
-    parts = F.flatten(F.transform(kept, lambda w: F.split(strip_marks(w), "_")))
-    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+    tokens = F.transform(
+        F.array_distinct(kept),
+        lambda w: F.struct(
+            w.alias("term"),
+            F.regexp_extract_all(strip_marks(w), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("tokens"),
+        ),
+    )
+    return F.filter(tokens, lambda t: F.size(t["tokens"]) > 0)
 
 
 def is_value_type(declared: Column) -> Column:

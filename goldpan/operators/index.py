@@ -171,105 +171,6 @@ def index_rows(metadata: DataFrame, values: DataFrame, keys: Sequence[str]) -> D
     return meta.unionByName(vals)
 
 
-def postings(
-    rows: DataFrame, row_keys: Sequence[str], only_terms: DataFrame | None = None,
-    with_totals: bool = False,
-) -> DataFrame:
-    """(row keys, row_length, term, tf), restricted to ``only_terms`` when given.
-
-    Spark counts the terms of a row inside the task that reads it, so the shuffle carries
-    one record per distinct term of a row. ``with_totals`` adds one record per row under the
-    empty term, which keeps the lengths of rows that match nothing.
-    """
-    tokens = F.col("_tokens")
-    terms = F.concat(tokens, F.array(F.lit(""))) if with_totals else tokens
-    long = (
-        rows.select(*row_keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
-        # The length is taken before the explode, which then need not carry the array along.
-        .withColumn("row_length", F.size("_tokens"))
-        .select(*row_keys, "row_length", F.explode(terms).alias("term"))
-    )
-    if only_terms is not None:
-        wanted = only_terms.select("term").distinct()
-        if with_totals:
-            wanted = wanted.union(rows.sparkSession.range(1).select(F.lit("")))
-        long = long.join(wanted, "term", "left_semi")
-    return long.groupBy(*row_keys, "row_length", "term").agg(F.count("*").alias("tf"))
-
-
-def question_terms(questions: DataFrame, key: str, scope: Sequence[str]) -> DataFrame:
-    """(key, scope, term): one row per search term of a question."""
-    terms = text.query_terms(F.col("question"), F.coalesce("evidence", F.lit("")))
-    return questions.select(key, *scope, F.explode(terms).alias("term"))
-
-
-def bm25(
-    terms: DataFrame, rows: DataFrame, key: str, scope: Sequence[str], row_id: str, n: int
-) -> DataFrame:
-    """Best ``n`` index rows per question: (key, row_id, score, hit_rank).
-
-    Statistics cover the whole index; matches stay inside the question's scope. Scores are
-    negated, so smaller is better, and rounded so that the order of a distributed sum does
-    not change the ranking.
-
-    Copies cost nothing extra: questions with the same terms are scored once, and so are
-    index rows with the same text. The best texts are then given back their rows, of which
-    at most ``n`` per text can be among the best. Texts are split once; what is kept of
-    them, the postings of the asked terms and one length per text, is materialised.
-    """
-    scope = list(scope)
-    by_text = [*scope, "_text1", "_text2"]
-    same = F.array_sort(F.collect_set("term"))
-    asked = terms.groupBy(key, *scope).agg(same.alias("_terms"))
-    unlike = asked.groupBy(*scope, "_terms").agg(F.min(key).alias("_query"))
-    members = asked.join(unlike, [*scope, "_terms"]).select(key, "_query")
-    queries = cut(unlike.select("_query", *scope, F.explode("_terms").alias("term")))
-
-    keyed = rows.withColumns(
-        {"_text1": F.xxhash64("search_text"), "_text2": F.xxhash64(F.lit(1), "search_text")}
-    )
-    counted = cut(postings(keyed, by_text, queries, with_totals=True))
-    texts = counted.where(F.col("term") == "").select(
-        *by_text, "row_length", F.col("tf").alias("_copies")
-    )
-    size = F.sum("_copies")
-    total = texts.agg(
-        F.struct(
-            size.alias("n"), (F.sum(F.col("_copies") * F.col("row_length")) / size).alias("mean")
-        )
-    ).scalar()
-    found = (
-        counted.where(F.col("term") != "")
-        .join(texts.select(*by_text, "_copies"), by_text)
-        .withColumn("tf", F.col("tf") / F.col("_copies"))
-    )
-    spread = found.groupBy("term").agg(F.sum("_copies").alias("_rows"))
-    idf = F.log((total["n"] - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))
-    weights = spread.select(
-        "term", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("_idf")
-    )
-    saturation = F.col("tf") + BM25_K1 * (
-        1 - BM25_B + BM25_B * F.col("row_length") / total["mean"]
-    )
-    part = F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / saturation
-    scores = (
-        found.join(queries.join(weights, "term"), [*scope, "term"])
-        .groupBy("_query", *by_text)
-        .agg(F.round(-F.sum(part), HIT_SCORE_DIGITS).alias("score"))
-    )
-    # rank() keeps every text that ties at the border, so no row that belongs is lost.
-    place = F.rank().over(Window.partitionBy("_query").orderBy("score"))
-    best = cut(scores.withColumn("_place", place).where(F.col("_place") <= n).drop("_place"))
-    holders = keyed.select(*by_text, row_id).join(
-        best.select(*by_text).distinct(), by_text, "left_semi"
-    )
-    first_rows = top_per_group(holders, by_text, [F.col(row_id)], n).drop("rank")
-    ranked = top_per_group(
-        best.join(first_rows, by_text), ["_query"], [F.col("score"), F.col(row_id)], n, "hit_rank"
-    )
-    return members.join(ranked, "_query").select(key, row_id, "score", "hit_rank")
-
-
 def hit_limit(top_columns: int = TOP_COLUMNS) -> int:
     return max(256, top_columns * 64)
 

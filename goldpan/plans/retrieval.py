@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import datasets, index
+from ..operators import catalog, datasets, index, retrieval_index
+from ..operators.retrieval_index import StoredIndex
+from ..session import scratch_path
 from . import inputs
 from .inputs import CATALOG, with_
 from .registry import Tables, query
@@ -161,85 +164,139 @@ def _(t: Tables):
     )
 
 
+#: The live tables as two databases of one split.
+_CORPUS_TABLES = ("documents", "pages", "benchmark", "conversations")
+_LIVE_DB = f"CASE WHEN table_name IN {_CORPUS_TABLES} THEN 'corpus' ELSE 'trade' END"
 _META_ROWS = (
     "meta AS (SELECT table_name, column_name, concat_ws(' ', table_name, column_name) AS search_text "
     "FROM (SELECT DISTINCT table_name, column_name FROM scanned))"
 )
-_INDEX_ROWS = """index_rows AS (SELECT table_name, column_name, 'metadata' AS row_kind, '' AS value,
-    search_text FROM meta
-  UNION ALL SELECT table_name, column_name, 'value', value, value FROM capped)"""
+_INDEX_ROWS = f"""index_rows AS (SELECT 'live' AS split, {_LIVE_DB} AS db_id, * FROM (
+    SELECT table_name, column_name, 'metadata' AS row_kind, '' AS value, search_text FROM meta
+    UNION ALL SELECT table_name, column_name, 'value', value, value FROM capped))"""
+
+#: Where this application keeps the index of each folder of tables.
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(t: Tables, name: str) -> StoredIndex:
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _PATHS:
+        _PATHS[key] = scratch_path(t.spark, f"index-{name}")
+    return StoredIndex(t.spark, _PATHS[key])
+
+
+def _live_rows(t: Tables):
+    scanned = t.once("scanned", lambda: _scanned(t))
+    values = index.capped_values(index.distinct_values(index.normalized_values(scanned)))
+    metadata = scanned.select(*index.COLUMN).distinct().withColumns(
+        {"search_text": index.column_search_text(index.COLUMN), "value_order": F.lit(0)}
+    )
+    rows = index.index_rows(metadata, values, [*index.COLUMN, "value_order"])
+    return rows.select(
+        F.lit("live").alias("split"), F.expr(_LIVE_DB).alias("db_id"),
+        F.concat_ws(".", *index.COLUMN, "value_order").alias("row_id"),
+        *index.COLUMN, "row_kind", "value", "search_text",
+    )
 
 
 @query(
     "e07_index_build",
     with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED, _META_ROWS, _INDEX_ROWS)
-    + f"""SELECT table_name, column_name, row_kind, value, CAST(len(toks) AS INTEGER) AS row_length,
-  term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM (
-    SELECT *, {_TOKENS.format('search_text')} AS toks FROM index_rows)) GROUP BY ALL""",
+    + f"""SELECT split, db_id, table_name, column_name, row_kind, value, CAST(len(toks) AS INTEGER) AS row_length,
+  term, CAST(count(*) AS INTEGER) AS tf, list(CAST(i AS INTEGER) ORDER BY i) AS positions FROM (
+    SELECT *, unnest(toks) AS term, unnest(range(len(toks))) AS i FROM (
+      SELECT *, {_TOKENS.format('search_text')} AS toks FROM index_rows))
+  GROUP BY split, db_id, table_name, column_name, row_kind, value, len(toks), term""",
 )
 def _(t: Tables):
-    scanned = _scanned(t)
-    values = index.capped_values(index.distinct_values(index.normalized_values(scanned)))
-    metadata = scanned.select(*index.COLUMN).distinct().withColumn(
-        "search_text", index.column_search_text(index.COLUMN)
+    stored = _stored(t, "live")
+    stored.refresh(_live_rows(t), lambda rows: rows)
+    named = stored.rows().select(*retrieval_index.DATABASE, "row_id", *index.COLUMN, "row_kind", "value")
+    return stored.postings().join(named, [*retrieval_index.DATABASE, "row_id"]).drop("row_id")
+
+
+_DECLARED_COLUMNS = (
+    "declared AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'DATETIME' ELSE column_type END "
+        f"AS declared_type FROM (DESCRIBE {name})"
+        for name in KEYS
     )
-    rows = index.index_rows(metadata, values, index.COLUMN)
-    return index.postings(rows, [*index.COLUMN, "row_kind", "value"])
+    + ")"
+)
 
 
 @query(
     "e08_index_statistics",
-    with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED, _PER_COLUMN, CATALOG)
-    + """SELECT count(DISTINCT db_id) AS database_count, count(*) AS column_count,
-  count(*) FILTER (regexp_matches(upper(declared_type), 'TEXT|CHAR|CLOB|DATE|DATETIME'))
+    with_(_SCAN, _NORMAL, _DISTINCT, _CAPPED, _PER_COLUMN, _DECLARED_COLUMNS)
+    + f"""SELECT (SELECT count(DISTINCT {_LIVE_DB}) FROM declared) AS database_count,
+  (SELECT count(*) FROM declared) AS column_count,
+  (SELECT count(*) FROM declared WHERE regexp_matches(declared_type, 'TEXT|CHAR|CLOB|DATE|DATETIME'))
     AS value_column_count,
-  CAST((SELECT sum(scanned_values) FROM per_column) AS BIGINT) AS scanned_value_count,
-  CAST((SELECT sum(indexed_unique_values) FROM per_column) AS BIGINT) AS indexed_unique_value_count
-FROM catalog""",
+  CAST(sum(scanned_values) AS BIGINT) AS scanned_value_count,
+  CAST(sum(indexed_unique_values) AS BIGINT) AS indexed_unique_value_count FROM per_column""",
 )
 def _(t: Tables):
-    scanned = _scanned(t)
+    scanned = t.once("scanned", lambda: _scanned(t))
     values = index.capped_values(index.distinct_values(index.normalized_values(scanned)))
     per_column = index.value_statistics(scanned, values)
-    return index.index_statistics(inputs.catalog(t), per_column)
+    live = [(name, c, DECLARED.get(k, "")) for name in KEYS for c, k in getattr(t, name).dtypes]
+    columns = t.spark.createDataFrame(live, "table_name string, column_name string, declared_type string")
+    return index.index_statistics(columns.withColumn("db_id", F.expr(_LIVE_DB)), per_column)
 
 
 # ---- retrieval over whole documents ---------------------------------------------------
 
-_QUESTIONS = """questions AS (SELECT item_id AS question_id,
-    concat('src', CAST(item_id % 20 AS STRING)) AS db_id, text AS question,
-    CASE WHEN item_id % 3 = 0 THEN 'Show the c1_en _list_ of 7' ELSE '' END AS evidence FROM benchmark)"""
+_DEV = "('src16', 'src17', 'src18', 'src19')"
+_QUESTION_COLUMNS = [
+    "item_id AS question_id",
+    "CASE WHEN item_id % 20 >= 16 THEN 'dev' ELSE 'train' END AS split",
+    "concat('src', CAST(item_id % 20 AS STRING)) AS db_id",
+    "text AS question",
+    "CASE item_id % 3 WHEN 0 THEN 'Show the c1_en _list_ of 7 text_in, free_text' "
+    "WHEN 1 THEN concat(split_part(text, ' ', 2), '_', split_part(text, ' ', 3)) ELSE '' END AS evidence",
+]
+_QUESTIONS = f"questions AS (SELECT {', '.join(_QUESTION_COLUMNS)} FROM benchmark)"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in text.QUERY_STOP_WORDS) + "]"
-_TERMS = rf"""words AS (SELECT question_id, db_id, unnest(regexp_extract_all(
+_TERMS = rf"""words AS (SELECT question_id, split, db_id, unnest(regexp_extract_all(
     {_FOLD.format("concat_ws(' ', question, evidence)")}, '[\p{{L}}\p{{N}}_]+')) AS w FROM questions),
-kept_words AS (SELECT question_id, db_id, trim(w, '_') AS w FROM words),
-terms AS (SELECT DISTINCT question_id, db_id, term FROM (
-    SELECT question_id, db_id, unnest(string_split(strip_accents(w), '_')) AS term FROM kept_words
+kept_words AS (SELECT question_id, split, db_id, trim(w, '_') AS w FROM words),
+terms AS (SELECT * FROM (SELECT DISTINCT question_id, split, db_id, w AS term,
+    array_to_string(regexp_extract_all(strip_accents(w), '[\p{{L}}\p{{N}}]+'), ' ') AS phrase FROM kept_words
     WHERE w <> '' AND NOT list_contains({_STOPS}, w) AND (length(w) > 1 OR regexp_matches(w, '[0-9]')))
-  WHERE term <> '')"""
-_CORPUS = f"""info AS (SELECT DISTINCT source AS db_id, lang AS table_name,
+  WHERE phrase <> '')"""
+_CORPUS = f"""info AS (SELECT DISTINCT CASE WHEN source IN {_DEV} THEN 'dev' ELSE 'train' END AS split,
+    source AS db_id, lang AS table_name,
     concat('c', CAST(doc_id % 5 AS STRING)) AS column_name,
     concat('text in ', lang) AS column_description,
     CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN concat('text in ', lang)
          ELSE 'free text' END AS value_description FROM documents),
-corpus AS (SELECT source AS db_id, lang AS table_name, concat('c', CAST(doc_id % 5 AS STRING)) AS column_name,
+corpus AS (SELECT CASE WHEN source IN {_DEV} THEN 'dev' ELSE 'train' END AS split, source AS db_id,
+    lang AS table_name, concat('c', CAST(doc_id % 5 AS STRING)) AS column_name,
     'value' AS row_kind, concat('v', CAST(doc_id AS STRING)) AS row_id,
     {_LINE.format('text')} AS value, {_LINE.format('text')} AS search_text FROM documents
-  UNION ALL SELECT db_id, table_name, column_name, 'metadata',
+  UNION ALL SELECT split, db_id, table_name, column_name, 'metadata',
     concat('m', db_id, '.', table_name, '.', column_name), '',
     concat_ws(' ', table_name, column_name, column_description, nullif(value_description, ''))
   FROM info),
 tokens AS (SELECT *, {_TOKENS.format('search_text')} AS toks FROM corpus)"""
-_SCORES = """posting AS (SELECT db_id, row_id, len(toks) AS dl, term, count(*) AS tf FROM (
-    SELECT db_id, row_id, toks, unnest(toks) AS term FROM tokens) GROUP BY ALL),
+#: A phrase starts where each of its tokens stands at its own distance from the start.
+_SCORES = """asked AS (SELECT question_id, split, db_id, phrase, count(*) AS times FROM terms GROUP BY ALL),
+phrase_tokens AS (SELECT phrase, len(ps) AS m, unnest(ps) AS tok, unnest(range(len(ps))) AS k
+  FROM (SELECT DISTINCT phrase, string_split(phrase, ' ') AS ps FROM terms)),
+places AS (SELECT split, db_id, row_id, len(toks) AS dl, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM tokens),
+starts AS (SELECT split, db_id, row_id, dl, phrase, i - k AS s FROM places JOIN phrase_tokens USING (tok)
+  GROUP BY ALL HAVING count(*) = max(m)),
+posting AS (SELECT split, db_id, row_id, dl, phrase, count(*) AS tf FROM starts GROUP BY ALL),
 corpus_size AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM tokens),
-spread AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
-weights AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
+spread AS (SELECT phrase, count(*) AS df FROM posting GROUP BY phrase),
+weights AS (SELECT phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
     THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM spread, corpus_size),
-scores AS (SELECT q.question_id, p.row_id, round(-sum(w.idf * p.tf * 2.2e0
+scores AS (SELECT q.question_id, p.row_id, round(-sum(q.times * w.idf * p.tf * 2.2e0
     / (p.tf + 1.2e0 * (0.25e0 + 0.75e0 * p.dl / mean))), 9) AS score
-  FROM terms q JOIN posting p ON p.db_id = q.db_id AND p.term = q.term
-  JOIN weights w ON w.term = q.term, corpus_size GROUP BY 1, 2),
+  FROM asked q JOIN posting p ON p.split = q.split AND p.db_id = q.db_id AND p.phrase = q.phrase
+  JOIN weights w ON w.phrase = q.phrase, corpus_size GROUP BY 1, 2),
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score, row_id) AS INTEGER)
   AS hit_rank FROM scores QUALIFY hit_rank <= 512)"""
 _ROLLUP = """placed AS (SELECT h.*, c.table_name, c.column_name, c.row_kind, c.value, c.db_id
@@ -265,21 +322,17 @@ _LINES = """lines AS (SELECT t.*, concat('- "', t.table_name, '"."', t.column_na
   FROM top_ t JOIN info i ON i.db_id = t.db_id AND i.table_name = t.table_name
     AND i.column_name = t.column_name)"""
 
-_SCOPE = ["db_id"]
+_SCOPE = ["split", "db_id"]
 
 
 def _questions(t: Tables):
-    return t.benchmark.selectExpr(
-        "item_id AS question_id",
-        "concat('src', CAST(item_id % 20 AS STRING)) AS db_id",
-        "text AS question",
-        "CASE WHEN item_id % 3 = 0 THEN 'Show the c1_en _list_ of 7' ELSE '' END AS evidence",
-    )
+    return t.benchmark.selectExpr(*_QUESTION_COLUMNS)
 
 
-def _info(t: Tables):
-    return t.documents.selectExpr(
-        "source AS db_id",
+def _info(documents):
+    return documents.selectExpr(
+        "split",
+        "db_id",
         "lang AS table_name",
         "concat('c', CAST(doc_id % 5 AS STRING)) AS column_name",
         "concat('text in ', lang) AS column_description",
@@ -289,38 +342,48 @@ def _info(t: Tables):
     ).distinct()
 
 
-def _corpus(t: Tables):
-    return t.once("corpus", lambda: _corpus_rows(t))
+def _databases(t: Tables):
+    """The documents as the tables and columns of one database per source."""
+    split = f"CASE WHEN source IN {_DEV} THEN 'dev' ELSE 'train' END AS split"
+    return t.documents.selectExpr(split, "source AS db_id", "doc_id", "lang", "text")
 
 
-def _corpus_rows(t: Tables):
+def _corpus_rows(documents):
     line = text.one_line(F.col("text"))
-    values = t.documents.select(
-        F.col("source").alias("db_id"),
-        F.col("lang").alias("table_name"),
+    scope = ["split", "db_id", "table_name", "column_name", "row_id"]
+    values = documents.select(
+        "split", "db_id", F.col("lang").alias("table_name"),
         F.expr("concat('c', CAST(doc_id % 5 AS STRING))").alias("column_name"),
         F.expr("concat('v', CAST(doc_id AS STRING))").alias("row_id"),
         line.alias("value"),
     )
     parts = ["table_name", "column_name", "column_description", "value_description"]
-    metadata = _info(t).select(
-        "db_id", "table_name", "column_name",
+    metadata = _info(documents).select(
+        "split", "db_id", "table_name", "column_name",
         F.concat(F.lit("m"), F.concat_ws(".", "db_id", "table_name", "column_name")).alias("row_id"),
         index.column_search_text(parts).alias("search_text"),
     )
-    return index.index_rows(metadata, values, ["db_id", "table_name", "column_name", "row_id"])
+    return index.index_rows(metadata, values, scope)
+
+
+def _corpus(t: Tables) -> StoredIndex:
+    """The stored index, brought up to the documents: only changed databases are written."""
+    stored = _stored(t, "corpus")
+    if "corpus" not in t.kept:
+        t.kept["corpus"] = stored.refresh(_databases(t), _corpus_rows)
+    return stored
 
 
 def _terms(t: Tables):
-    return index.question_terms(_questions(t), "question_id", _SCOPE)
+    return retrieval_index.question_phrases(_questions(t), "question_id")
 
 
 def _hits(t: Tables):
-    return index.bm25(_terms(t), _corpus(t), "question_id", _SCOPE, "row_id", index.hit_limit())
+    return retrieval_index.best_rows(_terms(t), _corpus(t), "question_id", index.hit_limit())
 
 
 def _columns(t: Tables):
-    return index.column_hits(_hits(t), _corpus(t), "question_id", "row_id")
+    return index.column_hits(_hits(t), _corpus(t).rows(), "question_id", "row_id")
 
 
 def _digests():
@@ -368,8 +431,8 @@ def _(t: Tables):
 
 def _lines(t: Tables):
     top = index.top_columns(_columns(t), "question_id")
-    scoped = top.join(_questions(t).select("question_id", "db_id"), "question_id")
-    return index.enrich(scoped, _info(t), _SCOPE)
+    scoped = top.join(_questions(t).select("question_id", *_SCOPE), "question_id")
+    return index.enrich(scoped, _info(_databases(t)), _SCOPE)
 
 
 _ALL = with_(_QUESTIONS, _TERMS, _CORPUS, _SCORES, _ROLLUP, _TOP, _LINES)
@@ -401,24 +464,71 @@ def _(t: Tables):
     return index.coverage(samples, hits, "question_id", "split")
 
 
+_GOLD = (
+    "concat('SELECT count(*) FROM documents WHERE source = ', chr(39), db_id, chr(39), "
+    "' AND doc_id > ', CAST(question_id AS STRING))"
+)
+_SAMPLES = f"samples AS (SELECT *, {_GOLD} AS gold_sql FROM questions)"
+_SCHEMA = """schemas AS (SELECT db_id, string_agg(section, chr(10) || chr(10) ORDER BY table_name) AS schema FROM (
+    SELECT db_id, table_name, concat('TABLE "', table_name, '"', chr(10),
+      string_agg(concat('- "', column_name, '" TEXT'), chr(10) ORDER BY column_name)) AS section
+    FROM (SELECT DISTINCT db_id, table_name, column_name FROM info) GROUP BY 1, 2) GROUP BY 1)"""
+
+
 @query(
     "f07_grounded_dataset",
     _ALL
-    + """, grounded AS (SELECT question_id, string_agg(line, chr(10) ORDER BY position) AS block
+    + f""", {_SAMPLES}, {_SCHEMA}, grounded AS (SELECT question_id, string_agg(line, chr(10) ORDER BY position) AS block
     FROM lines GROUP BY 1)
-SELECT q.question_id, q.db_id, md5(concat('Database schema:', chr(10), 'TABLE "', q.db_id, '"',
+SELECT q.question_id, q.db_id, md5(concat('Database schema:', chr(10), s.schema,
   CASE WHEN g.block IS NULL THEN '' ELSE concat(chr(10), chr(10), 'Relevant database information:',
   chr(10), g.block) END, CASE WHEN q.evidence <> '' THEN concat(chr(10), chr(10), 'Evidence:',
   chr(10), q.evidence) ELSE '' END, chr(10), chr(10), 'Question:', chr(10), trim(q.question)))
-  AS prompt_digest FROM questions q LEFT JOIN grounded g ON g.question_id = q.question_id""",
+  AS prompt_digest, md5(concat('```sql', chr(10), q.gold_sql, chr(10), '```')) AS completion_digest
+  FROM samples q JOIN schemas s ON s.db_id = q.db_id LEFT JOIN grounded g ON g.question_id = q.question_id""",
 )
 def _(t: Tables):
-    samples = _questions(t).withColumn("gold_sql", F.lit("SELECT 1"))
-    schemas = _questions(t).select("db_id").distinct().withColumn(
-        "schema", F.concat(F.lit('TABLE "'), "db_id", F.lit('"'))
-    )
-    records = datasets.build_grounded(samples, schemas, _lines(t), "question_id")
+    samples = _questions(t).withColumn("gold_sql", F.expr(_GOLD))
+    records = datasets.build_grounded(samples, _schemas(t), _lines(t), "question_id")
     return records.select(
         "question_id", "db_id",
         F.md5(F.element_at("prompt", 2)["content"]).alias("prompt_digest"),
+        F.md5(F.element_at("completion", 1)["content"]).alias("completion_digest"),
+    )
+
+
+def _schemas(t: Tables):
+    """Rendered schema of every database of the corpus."""
+    columns = _info(_databases(t)).select("db_id", "table_name", "column_name").distinct()
+    in_db = Window.partitionBy("db_id").orderBy("table_name")  # one row per column of a database
+    in_table = Window.partitionBy("db_id", "table_name").orderBy("column_name")
+    full = columns.select(
+        "*", F.dense_rank().over(in_db).alias("table_ordinal"), F.col("table_name").alias("table_display"),
+        F.row_number().over(in_table).alias("ordinal"), F.col("column_name").alias("column_display"),
+        F.lit("text").alias("declared_type"), F.lit(False).alias("is_primary_key"),
     )
+    no_keys = t.spark.createDataFrame(
+        [], "db_id string, table_ordinal int, key_ordinal int, source_table string, source_column string, "
+        "target_table string, target_column string",
+    )
+    return catalog.render(full, no_keys)
+
+
+_CHANGED = "src3"
+
+
+@query(
+    "e07_index_refresh",
+    with_(_CORPUS)
+    + f"""SELECT split, db_id, CAST(CASE WHEN db_id = '{_CHANGED}' THEN 2 ELSE 1 END AS BIGINT) AS written_by,
+  count(*) AS row_count, CAST(sum(len(toks) + CASE WHEN db_id = '{_CHANGED}' AND row_kind = 'value' THEN 1 ELSE 0 END)
+    AS BIGINT) AS token_count FROM tokens GROUP BY split, db_id""",
+)
+def _(t: Tables):
+    """A second refresh, after one source got a word more per document, writes that database alone."""
+    stored = StoredIndex(t.spark, scratch_path(t.spark, "index-refreshed"))
+    documents = _databases(t)
+    stored.refresh(documents, _corpus_rows)
+    longer = F.when(F.col("db_id") == _CHANGED, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    stored.refresh(documents.withColumn("text", longer), _corpus_rows)
+    return stored.state().drop("fingerprint")

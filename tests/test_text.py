@@ -68,12 +68,21 @@ def test_rationale(spark, raw, expected):
     assert _one(spark, raw, text.extract_rationale) == expected
 
 
-def test_query_terms(spark):
+def test_query_phrases(spark):
     rows = spark.createDataFrame(
-        [("Show me the Größe of café_bar, x 7", "list café")], "question string, evidence string"
+        [("Show me the Größe of café_bar, x 7", "list café Café __ _cafe_ the_end")], "question string, evidence string"
     )
-    terms = rows.select(text.query_terms(F.col("question"), F.col("evidence")).alias("t")).first()["t"]
-    assert terms == ["grosse", "cafe", "bar", "7"]
+    found = rows.select(text.query_phrases(F.col("question"), F.col("evidence")).alias("t")).first()["t"]
+    assert [(r.term, r.tokens) for r in found] == [
+        ("grösse", ["grosse"]), ("café_bar", ["cafe", "bar"]), ("7", ["7"]), ("café", ["cafe"]), ("cafe", ["cafe"]),
+        ("the_end", ["the", "end"]),
+    ]
+
+
+def test_search_tokens_short_way(spark):
+    assert _one(spark, "Ab-c_9 x\ty", text.search_tokens) == ["ab", "c", "9", "x", "y"]
+    assert _one(spark, "Ab-c_9 É", text.search_tokens) == ["ab", "c", "9", "e"]
+    assert _one(spark, "", text.search_tokens) == []
 
 
 def test_identifier_folding_is_ascii_only(spark):
