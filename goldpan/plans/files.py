@@ -136,6 +136,21 @@ def _(t: Tables):
     return files.published(t.spark, root, "candidates")
 
 
+@query(
+    "a08_publication_history",
+    with_(CANDIDATES)
+    + """SELECT CAST(number AS BIGINT) AS number, n AS rows FROM (
+  SELECT 1 AS number, count(*) AS n FROM candidates WHERE status = 'success'
+  UNION ALL SELECT 2, count(*) FROM candidates)""",
+)
+def _(t: Tables):
+    root = scratch_path(t.spark, "a08")
+    rows = inputs.candidates(t).select("source_index", "candidate_index", "status")
+    files.publish(rows.where("status = 'success'"), root, "candidates")
+    files.publish(rows, root, "candidates")
+    return files.manifests(t.spark, root, "candidates").select("number", "rows")
+
+
 @query(
     "a09_round_trip",
     """SELECT o_orderkey, o_orderpriority, only_in FROM (
@@ -176,6 +191,21 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{root}/log").drop("ts")
 
 
+@query(
+    "a11_batch_ledger",
+    with_(REQUESTS)
+    + """SELECT request_id, db_id, status, CAST(CASE WHEN status = 'success' THEN 0 ELSE 1 END AS BIGINT) AS batch
+  FROM requests""",
+)
+def _(t: Tables):
+    """Two batches, each of which arrives twice."""
+    path = scratch_path(t.spark, "a11-ledger")
+    records = inputs.requests(t).select("request_id", "db_id", "status")
+    for number, some in ((0, "status = 'success'"), (1, "status <> 'success'"), (0, "true"), (1, "status <> 'success'")):
+        logs.save_batch(records.where(some), number, path)
+    return logs.logged_batches(t.spark, path, records.schema)
+
+
 @query(
     "a13_csv_export",
     """SELECT concat('"', CAST(o_orderkey AS STRING), '","', replace(concat('"', o_orderstatus, '", ', o_orderpriority),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
+
 REQUEST_SCHEMA = (
     "request_id bigint, ts string, db_id string, mode string, status string, "
     "total_ms double, generation_ms double, execution_ms double"
@@ -37,18 +39,34 @@ def write_log(records: DataFrame, path: str, checkpoint: str, once: bool = True)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def append_batches(records: DataFrame, path: str, checkpoint: str):
-    """The same through ``foreachBatch``, writing JSON lines per micro-batch.
+def save_batch(batch: DataFrame, number: int, path: str) -> bool:
+    """Write one micro-batch as JSON lines, once: a number that the ledger has appends nothing.
 
-    A replayed batch overwrites its own folder, so it is not written twice.
+    The ledger entry follows the data. A run that broke off between the two writes the same folder
+    again, so the data stand there once either way.
     """
+    spark = batch.sparkSession
+    if files.exists(spark, f"{path}/ledger/{number:012}"):
+        return False
+    batch.write.mode("overwrite").json(f"{path}/data/batch={number}")
+    return files.create_once(spark, f"{path}/ledger/{number:012}", f"{number}\n")
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").json(f"{path}/batch={number}")
 
+def append_batches(records: DataFrame, path: str, checkpoint: str):
+    """The same through ``foreachBatch`` with a ledger of batch numbers; read it with
+    ``logged_batches``. A log belongs to one checkpoint, which numbers its batches."""
     return (
-        records.writeStream.foreachBatch(save)
+        records.writeStream.foreachBatch(lambda batch, number: save_batch(batch, number, path) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def logged_batches(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Records of all batches that the ledger has, with their batch number."""
+    if not files.exists(spark, f"{path}/ledger"):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("bigint"))
+    done = spark.read.schema("batch bigint").csv(f"{path}/ledger")
+    data = spark.read.schema(schema).json(f"{path}/data")
+    return data.withColumn("batch", F.col("batch").cast("bigint")).join(done, "batch", "left_semi")

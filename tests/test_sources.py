@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,67 @@ def test_publish_switches_versions(spark, tmp_path):
     assert files.differences(files.published(spark, root, "numbers"), spark.range(9)).isEmpty()
 
 
+def test_publication_reads_its_source_once_and_numbers_it(spark, tmp_path):
+    root = str(tmp_path)
+    assert files.manifests(spark, root, "x").collect() == []
+    # Another draw each time it is computed: only what was written counts.
+    drawn = spark.range(50).select("id", F.expr("uuid()").alias("u"))
+    assert files.publish(drawn, root, "x") == 1 and files.publish(drawn.limit(0), root, "x") == 2
+    assert [(r.number, r["rows"]) for r in files.manifests(spark, root, "x").orderBy("number").collect()] == [(1, 50), (2, 0)]
+    assert files.published(spark, root, "x").count() == 0
+    with pytest.raises(LookupError):
+        files.published(spark, root, "y")
+
+
+def test_two_publications_keep_one_winner(spark, tmp_path):
+    root = str(tmp_path)
+    files.publish(spark.range(1), root, "x")
+    with ThreadPoolExecutor(4) as pool:  # all have seen number 1
+        tries = [pool.submit(files.publish, spark.range(10 + i), root, "x", 1) for i in range(4)]
+    won = [i for i, t in enumerate(tries) if t.exception() is None]
+    assert len(won) == 1 and tries[won[0]].result() == 2
+    assert all(isinstance(t.exception(), files.PublicationConflict) for i, t in enumerate(tries) if i not in won)
+    assert files.published(spark, root, "x").count() == 10 + won[0]
+    with pytest.raises(files.PublicationConflict):
+        files.publish(spark.range(3), root, "x", base=1)
+
+
+def test_spoilt_versions_leave_the_old_one(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    files.publish(spark.range(5), root, "x")
+    real = files.published
+
+    def spoilt(*args):
+        return real(*args).where("id <> 3")
+
+    monkeypatch.setattr(files, "published", spoilt)  # what the name gives after the switch is short of a row
+    with pytest.raises(RuntimeError, match="taken back"):
+        files.publish(spark.range(9), root, "x")
+    monkeypatch.setattr(files, "published", real)
+    assert files.published(spark, root, "x").count() == 5
+    assert files.publish(spark.range(7), root, "x") == 2
+    # A version that loses its files later, and a manifest that was cut short.
+    version = files.manifests(spark, root, "x").where("number = 2").first().version
+    for part in (tmp_path / "x" / "versions" / version).glob("*.parquet"):
+        part.unlink()
+    (tmp_path / "x" / "manifest" / "000000000003.json").write_text('{"number": 3, "ver')
+    assert files.published(spark, root, "x", verify=True).count() == 5
+
+
+def test_replayed_batch_appends_nothing(spark, tmp_path):
+    path = str(tmp_path)
+    assert logs.logged_batches(spark, path, "id long").collect() == []
+    assert logs.save_batch(spark.range(3), 0, path)
+    assert not logs.save_batch(spark.range(3), 0, path) and not logs.save_batch(spark.range(9), 0, path)
+    # Data without a ledger entry are no batch yet, and are written again.
+    spark.range(4).write.json(f"{path}/data/batch=1")
+    assert logs.logged_batches(spark, path, "id long").count() == 3
+    assert logs.save_batch(spark.range(3, 5), 1, path)
+    assert sorted((r.batch, r.id) for r in logs.logged_batches(spark, path, "id long").collect()) == [
+        (0, 0), (0, 1), (0, 2), (1, 3), (1, 4)
+    ]
+
+
 def test_csv_export_quotes_everything(spark, tmp_path):
     rows = spark.createDataFrame([('a "b"', None, 1)], "x string, y string, z int")
     csvs.export_csv(rows.coalesce(1), str(tmp_path / "out"))
@@ -86,4 +149,5 @@ def test_request_log_goes_on_where_it_was(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert sorted(r["request_id"] for r in log.collect()) == list(range(25))
     assert log.where("error_type IS NULL").count() == 13
-    assert spark.read.json(str(tmp_path / "json")).count() == 25
+    found = logs.logged_batches(spark, str(tmp_path / "json"), "request_id long, db_id string")
+    assert sorted((r.batch, r.request_id) for r in found.collect()) == [(int(i >= 10), i) for i in range(25)]
