@@ -46,10 +46,22 @@ OTHER_ERROR = "sqlite_error"
 
 
 # Left to right, as the parser reads: raw literals know no escapes, others escape with a backslash.
-_RAW = r"""\br'[^']*'|\br"[^"]*\""""
-_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-_NAME = r"`(?:[^`]|``)*`"
-_COMMENT = r"--[^\n]*|/\*.*?\*/"
+# A line comment ends at a carriage return or line feed unless a backslash stands before the line
+# feed; block comments nest; a hint is no comment, and what it holds is read like the rest.
+_RAW = r"""\br'[^']*+'|\br"[^"]*+\""""
+_LITERAL = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+_NAME = r"`[^`]*+(?:``[^`]*+)*+`"
+_LINE_COMMENT = r"--(?:[^\r\n\\]++|\\\n|\\(?!\n))*+"
+#: Block comments inside block comments that are understood; deeper ones are refused.
+NESTED = 3
+
+
+def _block_comment(depth: int) -> str:
+    inner = f"|{_block_comment(depth - 1)}" if depth else ""
+    return rf"/\*(?!\+)(?:[^/*]++|/(?!\*)|\*(?!/){inner})*+\*/"
+
+
+_COMMENT = f"{_LINE_COMMENT}|{_block_comment(NESTED)}"
 #: Put after whatever was quoted.
 _QUOTED = "\u00a4"
 
@@ -62,7 +74,7 @@ def _bare(sql: Column) -> Column:
     text = F.regexp_replace(text, rf"(?is)({quoted})|(?:{_COMMENT})", "$1 ")
     text = F.regexp_replace(text, rf"(?is)({_NAME})|(?:{_RAW}|{_LITERAL})", f"$1{_QUOTED}")
     text = F.regexp_replace(text, rf"`(\w+)`{_QUOTED}", " $1 ")
-    text = F.regexp_replace(text, rf"(?s)`(?:[^`]|``)*`{_QUOTED}", " q ")
+    text = F.regexp_replace(text, rf"(?s){_NAME}{_QUOTED}", " q ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -70,7 +82,8 @@ def guard(sql: Column) -> Column:
     """'ok', 'invalid_sql' for nothing to run, or 'unsafe_sql'.
 
     Runs before ``spark.sql``, which would execute a definition statement at once. A null
-    statement is nothing to run.
+    statement is nothing to run. Functions that leave the engine are refused wherever their call is
+    written, in comments and literals too; a comment or quote that does not end is refused.
     """
     text = F.regexp_replace(_bare(F.coalesce(sql, F.lit(""))), r"[; ]+$", "")
     functions = "|".join([*UNSAFE_FUNCTIONS, *UNSAFE_SPARK_FUNCTIONS])
@@ -79,6 +92,8 @@ def guard(sql: Column) -> Column:
         .when(~text.rlike(r"(?i)^\(* ?(select|with)\b"), "unsafe_sql")
         .when(F.contains(text, F.lit(";")), "unsafe_sql")
         .when(text.rlike(rf"(?i)\b({functions}) ?\("), "unsafe_sql")
+        .when(sql.rlike(rf"(?i)\b({'|'.join(UNSAFE_SPARK_FUNCTIONS)})[`\s]*\("), "unsafe_sql")
+        .when(text.rlike(r"/\*(?!\+)|['\"`]|\$\w*\$"), "unsafe_sql")
         .when(
             text.rlike(
                 r"(?i)\b(insert (into|overwrite)|delete from|merge into|update [\w.]+ set)\b"

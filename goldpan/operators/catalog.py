@@ -273,42 +273,43 @@ def case_collisions(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 def match_names(catalog: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, name, live_name, how): 'exact', then 'folded' where it is unique on both
-    sides; leftovers come as 'missing_in_live' or 'missing_in_catalog'."""
+    sides; leftovers come as 'missing_in_live' or 'missing_in_catalog'.
+
+    Both sides meet in one grouping per name and one per folded name, whose names differ in case
+    only. Null names and keys match nothing.
+    """
     keys = list(keys)
-    ours = catalog.select(*keys, "name").distinct()
-    theirs = live.select(*keys, F.col("name").alias("live_name")).distinct()
-    on_name = [*keys, "name"]
-    exact = ours.join(theirs.withColumnRenamed("live_name", "name"), on_name, "left_semi")
-    rest_ours = ours.join(exact, on_name, "left_anti").withColumn(
-        "_fold", text.ascii_fold(F.col("name"))
-    )
-    rest_theirs = theirs.join(
-        exact.withColumnRenamed("name", "live_name"), [*keys, "live_name"], "left_anti"
-    ).withColumn("_fold", text.ascii_fold(F.col("live_name")))
-    one_ours = rest_ours.groupBy(*keys, "_fold").agg(
-        F.count("*").alias("_n"), F.min("name").alias("name")
-    )
-    one_theirs = rest_theirs.groupBy(*keys, "_fold").agg(
-        F.count("*").alias("_m"), F.min("live_name").alias("live_name")
-    )
-    pairs = (
-        one_ours.join(one_theirs, [*keys, "_fold"])
-        .where((F.col("_n") == 1) & (F.col("_m") == 1))
-        .select(*keys, "name", "live_name")
+    sides = catalog.select(*keys, "name", F.lit(True).alias("_ours")).unionByName(
+        live.select(*keys, "name", F.lit(False).alias("_ours"))
     )
-    none = F.lit(None).cast("string")
-    lost = rest_ours.join(pairs, on_name, "left_anti").select(
-        *keys, "name", none.alias("live_name"), F.lit("missing_in_live").alias("how")
+    known = F.col("name").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    names = sides.groupBy(*keys, "name").agg(
+        F.bool_or("_ours").alias("ours"), F.bool_or(~F.col("_ours")).alias("theirs")
     )
-    extra = rest_theirs.join(pairs, [*keys, "live_name"], "left_anti").select(
-        *keys, none.alias("name"), "live_name", F.lit("missing_in_catalog").alias("how")
+    folds = names.groupBy(*keys, text.ascii_fold(F.col("name")).alias("_fold")).agg(
+        F.collect_list(F.struct("name", "ours", "theirs", known.alias("known"))).alias("_names")
     )
-    return (
-        exact.select(*keys, "name", F.col("name").alias("live_name"), F.lit("exact").alias("how"))
-        .unionByName(pairs.withColumn("how", F.lit("folded")))
-        .unionByName(lost)
-        .unionByName(extra)
+    none = F.lit(None).cast("string")
+
+    def row(name: Column, live_name: Column, how: str) -> Column:
+        return F.struct(name.alias("name"), live_name.alias("live_name"), F.lit(how).alias("how"))
+
+    both = F.filter("_names", lambda n: n["ours"] & n["theirs"] & n["known"])
+    # A null name that both sides have stands on each of them alone.
+    ours = F.filter("_names", lambda n: n["ours"] & ~(n["theirs"] & n["known"]))
+    theirs = F.filter("_names", lambda n: n["theirs"] & ~(n["ours"] & n["known"]))
+    sorted_out = folds.select(*keys, both.alias("_both"), ours.alias("_ours"), theirs.alias("_theirs"))
+    first_ours, first_theirs = F.get("_ours", F.lit(0)), F.get("_theirs", F.lit(0))
+    pair = (F.size("_ours") == 1) & (F.size("_theirs") == 1) & first_ours["known"] & first_theirs["known"]
+    rest = F.concat(
+        F.transform("_ours", lambda n: row(n["name"], none, "missing_in_live")),
+        F.transform("_theirs", lambda n: row(none, n["name"], "missing_in_catalog")),
     )
+    matched = F.when(pair, F.array(row(first_ours["name"], first_theirs["name"], "folded"))).otherwise(rest)
+    exact = F.transform("_both", lambda n: row(n["name"], n["name"], "exact"))
+    return sorted_out.select(*keys, F.inline(F.concat(exact, matched)))
 
 
 def apply_names(columns: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -437,36 +438,40 @@ def integrity_issues(
     ``primary_keys`` (db_id, table_name, column_name) is given when keys are kept apart from
     the columns.
     """
-    blank = columns.where(
-        (text.strip(F.col("column_name")) == "") | (text.strip(F.col("declared_type")) == "")
-    ).select("db_id", F.lit("blank_name_or_type").alias("issue"), F.col("table_name").alias("name"))
-    repeated = (
-        columns.groupBy("db_id", "table_name", "column_name")
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > 1)
-        .select(
-            "db_id",
-            F.lit("duplicate_column").alias("issue"),
-            F.concat_ws(".", "table_name", "column_name").alias("name"),
-        )
-    )
-    known = columns.select("db_id", "table_name", "column_name").distinct()
-
-    def unknown(at: DataFrame, role: str) -> DataFrame:
-        return at.join(known, ["db_id", "table_name", "column_name"], "left_anti").select(
-            "db_id",
-            F.lit(f"{role}_does_not_exist").alias("issue"),
-            F.concat_ws(".", "table_name", "column_name").alias("name"),
-        )
+    place = ["db_id", "table_name", "column_name"]
 
-    def broken(role: str) -> DataFrame:
-        at = foreign_keys.select(
-            "db_id",
-            F.col(f"{role}_table").alias("table_name"),
-            F.col(f"{role}_column").alias("column_name"),
+    def tagged(at: DataFrame, tag: str, table: str, column: str, blank: Column) -> DataFrame:
+        return at.select(
+            "db_id", F.col(table).alias("table_name"), F.col(column).alias("column_name"),
+            F.lit(tag).alias("_tag"), blank.alias("_blank"),
         )
-        return unknown(at, role)
 
+    no = F.lit(False)
+    empty = (text.strip(F.col("column_name")) == "") | (text.strip(F.col("declared_type")) == "")
+    rows = tagged(columns, "column", "table_name", "column_name", F.coalesce(empty, no))
+    roles = ["source", "target"]
+    for role in roles:
+        rows = rows.unionByName(tagged(foreign_keys, role, f"{role}_table", f"{role}_column", no))
+    if primary_keys is not None:
+        rows = rows.unionByName(tagged(primary_keys, "primary_key", "table_name", "column_name", no))
+        roles.append("primary_key")
+    # Columns and what refers to them meet in one grouping; null names refer to nothing.
+    met = rows.groupBy(*place).agg(
+        F.count_if(F.col("_tag") == "column").alias("column"), F.count_if("_blank").alias("blank"),
+        *[F.count_if(F.col("_tag") == role).alias(role) for role in roles],
+    )
+    full = F.concat_ws(".", "table_name", "column_name")
+    named = F.col("db_id").isNotNull() & F.col("table_name").isNotNull() & F.col("column_name").isNotNull()
+    unknown = (F.col("column") == 0) | ~named
+
+    def issue(name: str, what: Column, times: Column) -> Column:
+        return F.array_repeat(F.struct(F.lit(name).alias("issue"), what.alias("name")), times.cast("int"))
+
+    found = F.concat(
+        issue("blank_name_or_type", F.col("table_name"), F.col("blank")),
+        issue("duplicate_column", full, F.when(F.col("column") > 1, 1).otherwise(0)),
+        *[issue(f"{role}_does_not_exist", full, F.when(unknown, F.col(role)).otherwise(0)) for role in roles],
+    )
     ends = ["db_id", "source_table", "source_column", "target_table", "target_column"]
     twice = (
         foreign_keys.groupBy(*ends)
@@ -478,17 +483,7 @@ def integrity_issues(
             F.concat_ws(".", "source_table", "source_column").alias("name"),
         )
     )
-    issues = (
-        blank.unionByName(repeated)
-        .unionByName(broken("source"))
-        .unionByName(broken("target"))
-        .unionByName(twice)
-    )
-    if primary_keys is None:
-        return issues
-    return issues.unionByName(
-        unknown(primary_keys.select("db_id", "table_name", "column_name"), "primary_key")
-    )
+    return met.select("db_id", F.inline(found)).unionByName(twice)
 
 
 # ---- rendering ---------------------------------------------------------------------------
@@ -593,14 +588,35 @@ def _file_stem() -> Column:
     return text.casefold(stem)
 
 
-def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame:
-    """(db_id, table_name, file, how) for every table that gets a description file.
+def _choices(tables: Column) -> Column:
+    """Tables in order, each with its (score, file) candidates, folded into (table, file, ties): the
+    files taken so far are the state, and a table takes the best free one if it is alone."""
 
-    ``columns`` is the catalog; ``described`` has db_id, file and original_column_name. A
-    file whose name equals the table's wins. The other tables take, in table order, the
-    unused file that shares most column names, if that file is unique; a table that cannot
-    choose gets none. A round settles every table whose choice no earlier open table can
-    still change; few tables lack a named file, so few rounds are needed.
+    def step(state: Column, table: Column) -> Column:
+        free = F.filter(table["candidates"], lambda c: ~F.array_contains(state["used"], c["file"]))
+        best = F.filter(free, lambda c: c["score"] == F.array_max(F.transform(free, lambda x: x["score"])))
+        file = F.when(F.size(best) == 1, F.get(best, F.lit(0))["file"])
+        taken = F.when(file.isNotNull(), F.array(file)).otherwise(F.array().cast("array<string>"))
+        row = F.struct(table["table_name"].alias("table_name"), file.alias("file"), F.size(best).alias("ties"))
+        return F.struct(
+            F.concat(state["used"], taken).alias("used"), F.concat(state["rows"], F.array(row)).alias("rows")
+        )
+
+    start = F.struct(
+        F.array().cast("array<string>").alias("used"),
+        F.array().cast("array<struct<table_name:string,file:string,ties:int>>").alias("rows"),
+    )
+    return F.aggregate(tables, start, step, lambda state: state["rows"])
+
+
+def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
+    """(db_id, table_name, file, how) for every table: how is 'name', 'overlap', or, without a file,
+    'ambiguous' (several free files share most column names) or 'no_match'.
+
+    ``columns`` is the catalog; ``described`` has db_id, file and original_column_name. A file whose
+    name equals the table's wins. The other tables take, in table order, the unused file that shares
+    most column names, if that file is unique. Since a choice depends on those before it, the open
+    tables of one database and their candidates are one value.
     """
     columns = cut(columns.select("db_id", "table_name", "table_ordinal", "column_name"))
     described = cut(described.select("db_id", "file", "original_column_name"))
@@ -620,55 +636,39 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
         .agg(F.min_by("table_name", "table_ordinal").alias("table_name"))
         .select("db_id", "table_name", "file", F.lit("name").alias("how"))
     )
-    open_tables = tables.join(exact, ["db_id", "table_name"], "left_anti")
+    open_tables = cut(tables.join(exact, ["db_id", "table_name"], "left_anti"))
     wanted = (
-        columns.select("db_id", "table_name", text.casefold(F.col("column_name")).alias("_column"))
-        .join(open_tables, ["db_id", "table_name"])
+        columns.drop("table_ordinal").join(open_tables, ["db_id", "table_name"])
+        .select("db_id", "table_name", "table_ordinal", text.casefold(F.col("column_name")).alias("_column"))
         .distinct()
     )
     offered = (
-        described.join(exact.select("db_id", "file"), ["db_id", "file"], "left_anti")
+        described.join(open_tables.select("db_id").distinct(), "db_id", "left_semi")
+        .join(exact.select("db_id", "file"), ["db_id", "file"], "left_anti")
         .select("db_id", "file", text.casefold(F.col("original_column_name")).alias("_column"))
         .where(F.col("_column") != "")
         .distinct()
     )
-    pending = cut(
-        wanted.join(offered, ["db_id", "_column"])
-        .groupBy("db_id", "table_name", "table_ordinal", "file")
-        .agg(F.count("*").alias("score"))
-    )
-    result = exact
-    table = ["db_id", "table_name", "table_ordinal"]
-    while not pending.isEmpty():
-        claims = pending.groupBy("db_id", "file").agg(F.min("table_ordinal").alias("_first"))
-        open_now = pending.join(claims, ["db_id", "file"]).withColumn(
-            "_free", F.col("table_ordinal") == F.col("_first")
-        )
-        by_score = open_now.groupBy(*table, "score").agg(
-            F.count("*").alias("ties"), F.min("file").alias("file"), F.bool_and("_free").alias("free")
-        )
-        best = by_score.groupBy(*table).agg(
-            F.max(F.struct("score", "ties", "file", "free")).alias("b"),
-            F.bool_and("free").alias("_all_free"),
-        )
-        # Settled: one best file that no earlier table can take, or a tie that no earlier
-        # table can break. The first open table of a database is always settled.
-        taken = (F.col("b.ties") == 1) & F.col("b.free")
-        tied = (F.col("b.ties") > 1) & F.col("_all_free")
-        settled = cut(
-            best.where(taken | tied).select(
-                "db_id", "table_name", F.when(taken, F.col("b.file")).alias("file"),
-                F.lit("overlap").alias("how"),
-            )
-        )
-        mapped = settled.where(F.col("file").isNotNull())
-        result = result.unionByName(mapped)
-        pending = cut(
-            pending.join(settled, ["db_id", "table_name"], "left_anti").join(
-                mapped, ["db_id", "file"], "left_anti"
-            )
-        )
-    return result
+    scores = wanted.join(offered, ["db_id", "_column"]).groupBy("db_id", "table_name", "table_ordinal", "file").agg(
+        F.count("*").alias("score")
+    )
+    candidates = scores.groupBy("db_id", "table_name", "table_ordinal").agg(
+        F.collect_list(F.struct("score", "file")).alias("candidates")
+    )
+    in_order = candidates.groupBy("db_id").agg(
+        F.sort_array(F.collect_list(F.struct("table_ordinal", "table_name", "candidates"))).alias("_tables")
+    )
+    chosen = in_order.select("db_id", F.inline(_choices(F.col("_tables"))))
+    missed = F.when(F.col("ties") > 1, "ambiguous").otherwise("no_match")
+    rest = open_tables.join(chosen, ["db_id", "table_name"], "left").select(
+        "db_id", "table_name", "file", F.when(F.col("file").isNotNull(), "overlap").otherwise(missed).alias("how")
+    )
+    return exact.unionByName(rest)
+
+
+def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame:
+    """``description_choices`` of the tables that get a file."""
+    return description_choices(columns, described).where(F.col("file").isNotNull())
 
 
 DESCRIPTION_FIELDS = ["column_description", "value_description", "data_format"]

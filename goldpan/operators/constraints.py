@@ -10,8 +10,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import strip
+from ..session import cut
+from . import bitmaps
 from .ranks import with_position
 
 
@@ -65,21 +68,59 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def contiguous_range(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Ids missing from, or outside of, 0..n-1."""
-    ids = df.select(F.col(key).alias("id")).distinct().withColumn("_seen", F.lit(True))
-    expected = df.sparkSession.range(n).withColumn("_wanted", F.lit(True))
+    """Ids missing from, or outside of, 0..n-1.
+
+    Ids shrink to bitmaps of 32,768 before the shuffle; only buckets that are not full are looked
+    into. Nulls are unexpected; an id is named once however often it occurs.
+    """
+    inside = F.col(key).between(0, n - 1)
+    shifted = df.where(inside).select((F.col(key) + 1).cast("bigint").alias("id"))  # buckets count from 1
+    seen = bitmaps.build(shifted, "id", {"seen": F.lit(True)})
+    buckets = df.sparkSession.range(1, -(-n // bitmaps.BITS) + 1).withColumnRenamed("id", "bucket")
+    gaps = buckets.join(seen, "bucket", "left").where(
+        F.col("seen").isNull() | (F.bitmap_count("seen") < bitmaps.BITS)
+    )
+    # The bits that should be set and are not, with all of an absent bucket.
+    absent = F.coalesce("seen", F.unhex(F.repeat(F.lit("00"), F.lit(bitmaps.BITS // 8))))
+    every = F.unhex(F.repeat(F.lit("FF"), F.lit(bitmaps.BITS // 8)))
+    words = bitmaps.words(gaps.select("bucket", absent.alias("seen"), every.alias("all")), ["seen", "all"])
+    lacking = bitmaps.ids(F.col("all").bitwiseAND(F.bitwise_not("seen")))
+    missing = words.select(F.explode(lacking).alias("id")).select((F.col("id") - 1).alias("id")).where(F.col("id") < n)
+    unexpected = df.where(inside.isNull() | ~inside).select(F.col(key).cast("bigint").alias("id")).distinct()
+    return missing.withColumn("issue", F.lit("missing")).unionByName(
+        unexpected.withColumn("issue", F.lit("unexpected"))
+    )
+
+
+def json_type(raw: Column, path: str) -> Column:
+    """Type of the value at a path of a JSON text, as it is written: integer (not 1.0, not true),
+    float, boolean, string, null, array, object; 'missing' without the path, 'malformed' if the text
+    is no JSON, null texts included. Whole numbers beyond 64 bits are integers."""
+    whole = F.try_parse_json(raw)
+    found = F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
     return (
-        expected.join(ids, "id", "full_outer")
-        .select(
-            "id",
-            F.when(F.col("_seen").isNull(), "missing")
-            .when(F.col("_wanted").isNull(), "unexpected")
-            .alias("issue"),
-        )
-        .where(F.col("issue").isNotNull())
+        F.when(whole.isNull(), "malformed")
+        .when(found.isNull(), "missing")
+        .when(found == "BIGINT", "integer")
+        .when(found.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
+        .when((found == "DOUBLE") | F.startswith(found, F.lit("DECIMAL")), "float")
+        .when(found == "BOOLEAN", "boolean")
+        .when(found == "STRING", "string")
+        .when(found == "VOID", "null")
+        .when(F.startswith(found, F.lit("ARRAY")), "array")
+        .otherwise("object")
     )
 
 
+def record_types(df: DataFrame, key: str, raw: Column, expected: Mapping[str, str]) -> DataFrame:
+    """(key, path, expected, found) of every value in raw JSON records that has another type than
+    the contract says; a fixed schema would turn 1.0 or true into what it expects."""
+    checks = F.array(
+        *[F.struct(F.lit(p).alias("path"), F.lit(e).alias("expected"), json_type(raw, p).alias("found")) for p, e in expected.items()]
+    )
+    return df.select(key, F.inline(F.filter(checks, lambda c: c["found"] != c["expected"])))
+
+
 def positional_order(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """Rows whose id differs from their position."""
     return with_position(df, *order).where(F.col("position") != F.col(key))
@@ -163,6 +204,67 @@ def leaks(df: DataFrame, key: str, prompt: Column, gold: Column) -> DataFrame:
     return df.where(F.contains(prompt, gold)).select(key)
 
 
+#: Words of a run by which passages and texts meet.
+ANCHOR_WORDS = 3
+
+
+def _runs(tokens: Column, words: int) -> Column:
+    """Digests of all runs of ``words`` neighbouring tokens."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - words + 1)
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words), " ")))
+    return F.when(F.size(tokens) >= words, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def contained_passages(
+    texts: DataFrame, text_id: str, passages: DataFrame, passage_id: str, text: str = "text",
+    words: int = ANCHOR_WORDS,
+) -> DataFrame:
+    """(text_id, passage_id) of every whole passage that stands in a text, exactly as written.
+
+    The first and last word of a passage may be parts of longer words in a text; all words between
+    them, cut at blanks and line ends, are words of the text too. So each passage is sought by the
+    one run of ``words`` of its inner words that is rarest in the texts, counted over all of them;
+    only texts with this run meet the passage, and the whole passage is then compared in place.
+    Null and blank passages stand nowhere. Passages with fewer inner words are sought by runs of as
+    many words as they have; those without any inner word are left out and listed by
+    ``short_passages``. Ids are unique in their table.
+    """
+    inner = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 2, F.lit(0)))
+    cut_up = passages.where(F.trim(text) != "").select(passage_id, F.col(text).alias("_passage"), _words(text).alias("_words"))
+    known = cut_up.select(passage_id, "_passage", inner.alias("_inner"))
+    known = known.where(F.size("_inner") > 0).withColumn("_size", F.least(F.size("_inner"), F.lit(words)))
+    known = cut(known)
+    kinds = [frame.schema[name] for frame, name in ((texts, text_id), (passages, passage_id))]
+    found = texts.sparkSession.createDataFrame([], StructType(kinds))
+    for (size,) in known.select("_size").distinct().collect():  # at most ``words`` rows
+        some = known.where(F.col("_size") == size).select(
+            passage_id, F.explode(F.array_distinct(_runs(F.col("_inner"), size))).alias("_run")
+        )
+        # Cut first: an expression inside the runs would be cut anew for each of them.
+        held = texts.select(text_id, _words(text).alias("_words")).where(F.size("_words") >= size)
+        held = held.select(text_id, F.explode(F.array_distinct(_runs(F.col("_words"), size))).alias("_run"))
+        held = cut(held.join(some.select("_run").distinct(), "_run", "left_semi"))
+        counts = held.groupBy("_run").agg(F.count("*").alias("_texts"))
+        rarest = some.join(counts, "_run", "left").groupBy(passage_id).agg(
+            F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("_texts"), "_run")).alias("_rare")
+        )
+        pairs = held.join(rarest.select(passage_id, "_rare._run"), "_run").select(text_id, passage_id)
+        found = found.unionByName(pairs)
+    whole = found.join(known.select(passage_id, "_passage"), passage_id).join(
+        texts.select(text_id, F.col(text).alias("_text")), text_id
+    )
+    return whole.where(F.contains("_text", F.col("_passage"))).select(text_id, passage_id).distinct()
+
+
+def _words(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")
+
+
+def short_passages(passages: DataFrame, passage_id: str, text: str = "text") -> DataFrame:
+    """Passages that ``contained_passages`` leaves out, since they have no inner word."""
+    return passages.where((F.trim(text) != "") & (F.size(_words(text)) < 3)).select(passage_id)
+
+
 def wrapping_rules(content: Column, gold: Column) -> dict[str, Column]:
     """One fence pair around exactly the gold statement."""
     body = F.substr(content, F.lit(8), F.length(content) - 11)

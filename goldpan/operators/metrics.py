@@ -72,12 +72,16 @@ def validation_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def transitions(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """How answers change between two systems that scored the same samples."""
-    a = first.select(*keys, F.col("official_ex").alias("_a"))
-    b = second.select(*keys, F.col("official_ex").alias("_b"))
+def transitions(rows: DataFrame, first: str, second: str, keys: Sequence[str]) -> DataFrame:
+    """How answers change between two systems that scored the same samples, from the rows
+    (system, keys, official_ex) of both: a sample's two answers meet in one grouping. Samples that
+    one system has not scored are left out; a system scores a sample once."""
+    pairs = rows.where(F.col("system").isin(first, second)).groupBy(*keys).agg(
+        F.max(F.when(F.col("system") == first, F.col("official_ex"))).alias("_a"),
+        F.max(F.when(F.col("system") == second, F.col("official_ex"))).alias("_b"),
+    )
     gain = F.sum("_b") - F.sum("_a")
-    return a.join(b, list(keys)).agg(
+    return pairs.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).agg(
         F.count("*").alias("sample_count"),
         F.count_if((F.col("_a") == 0) & (F.col("_b") == 1)).alias("wrong_to_right"),
         F.count_if((F.col("_a") == 1) & (F.col("_b") == 0)).alias("right_to_wrong"),

@@ -77,55 +77,66 @@ def mixed_prompts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: Metrics of the summary that stand there without any row too.
+PROMPT_TOTALS = [
+    "eligible_prompt_count", "scorable_prompt_count", "unscorable_prompt_count", "valid_candidate_count",
+    "truncated_candidate_count", "selected_prompt_count", "selection_rate",
+]
+CANDIDATE_TOTALS = ["generated_candidate_count", "format_compliance_rate"]
+
+
 def screening_summary(scored: DataFrame, screened: DataFrame) -> DataFrame:
-    """Long report (metric, key, value): counts, rates and buckets."""
+    """Long report (metric, key, value): counts, rates and buckets.
+
+    Every row names the cells it adds to; prompts and candidates are read once each and summed
+    inside the tasks.
+    """
     selected = F.col("selection_reason").isNotNull()
-    totals = screened.agg(
-        F.count("*").alias("eligible_prompt_count"),
-        F.count_if("scorable").alias("scorable_prompt_count"),
-        F.count_if(~F.col("scorable")).alias("unscorable_prompt_count"),
-        F.sum("valid_candidate_count").alias("valid_candidate_count"),
-        F.sum("truncated_candidate_count").alias("truncated_candidate_count"),
-        F.count_if(selected).alias("selected_prompt_count"),
-        percentage(F.count_if(selected), F.count("*")).alias("selection_rate"),
-    )
-    candidate_totals = scored.agg(
-        F.count("*").alias("generated_candidate_count"),
-        percentage(F.count_if("format_compliance"), F.count("*")).alias("format_compliance_rate"),
-    )
-
-    def long(row: DataFrame) -> DataFrame:
-        cells = [
-            F.struct(
-                F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).cast("double").alias("value")
-            )
-            for c in row.columns
-        ]
-        return row.select(F.inline(F.array(*cells)))
-
-    def buckets(frame: DataFrame, metric: str, key: Column) -> DataFrame:
-        return (
-            frame.groupBy(key.cast("string").alias("key"))
-            .agg(F.count("*").cast("double").alias("value"))
-            .select(F.lit(metric).alias("metric"), "key", "value")
-        )
+    judged = ~F.col("truncated") & _gold_reason().isNull()
 
-    scorable = screened.where("scorable")
-    judged = scored.where(~F.col("truncated") & _gold_reason().isNull())
-    parts = [
-        long(totals),
-        long(candidate_totals),
-        buckets(screened.where(selected), "selection_reason", F.col("selection_reason")),
-        buckets(screened.where("not scorable"), "gold_exclusion_reason", F.col("exclusion_reason")),
-        buckets(scorable, "exact_pass_count", F.col("exact_pass_count")),
-        buckets(scorable, "valid_candidate_count", F.col("valid_candidate_count")),
-        buckets(scored, "extraction_status", F.col("extraction_status")),
-        buckets(judged, "execution_status", F.col("status")),
+    def cell(metric: str, amount: Column, key: Column | None = None, when: Column | None = None) -> Column:
+        made = F.struct(
+            F.lit(metric).alias("metric"), (F.lit("") if key is None else key.cast("string")).alias("key"),
+            F.coalesce(amount.cast("double"), F.lit(0.0)).alias("amount"), F.lit(1).alias("rows"),
+        )
+        return made if when is None else F.when(when, made)
+
+    one = F.lit(1)
+    of_prompt = [
+        cell("eligible_prompt_count", one),
+        cell("scorable_prompt_count", F.col("scorable").cast("int")),
+        cell("unscorable_prompt_count", (~F.col("scorable")).cast("int")),
+        cell("valid_candidate_count", F.col("valid_candidate_count")),
+        cell("truncated_candidate_count", F.col("truncated_candidate_count")),
+        cell("selected_prompt_count", selected.cast("int")),
+        cell("selection_rate", selected.cast("int")),
+        cell("selection_reason", one, F.col("selection_reason"), selected),
+        cell("gold_exclusion_reason", one, F.col("exclusion_reason"), ~F.col("scorable")),
+        cell("exact_pass_count", one, F.col("exact_pass_count"), F.col("scorable")),
+        cell("valid_candidate_count", one, F.col("valid_candidate_count"), F.col("scorable")),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    of_candidate = [
+        cell("generated_candidate_count", one),
+        cell("format_compliance_rate", F.col("format_compliance").cast("int")),
+        cell("extraction_status", one, F.col("extraction_status")),
+        cell("execution_status", one, F.col("status"), judged),
+    ]
+
+    def cells(frame: DataFrame, made: list[Column]) -> DataFrame:
+        return frame.select(F.inline(F.filter(F.array(*made), lambda c: c.isNotNull())))
+
+    zeros = scored.sparkSession.createDataFrame(
+        [(m, "", 0.0, 0) for m in PROMPT_TOTALS + CANDIDATE_TOTALS], "metric string, key string, amount double, rows int"
+    )
+    sums = (
+        cells(screened, of_prompt).unionByName(cells(scored, of_candidate)).unionByName(zeros)
+        .groupBy("metric", "key").agg(F.sum("amount").alias("amount"), F.sum("rows").alias("rows"))
+    )
+    rate = F.endswith("metric", F.lit("_rate")) & (F.col("key") == "")
+    return sums.select(
+        "metric", "key",
+        F.when(rate, percentage(F.col("amount"), F.col("rows"))).otherwise(F.col("amount")).alias("value"),
+    )
 
 
 def selected_records(screened: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:

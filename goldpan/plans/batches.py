@@ -53,9 +53,8 @@ AND o_orderkey <= (SELECT max(l_orderkey) FROM lineitem WHERE l_returnflag = 'A'
   AND l_orderkey IN (SELECT o_orderkey FROM orders))""",
 )
 def _(t: Tables):
-    done = t.lineitem.where("l_returnflag = 'A'").selectExpr("l_orderkey AS source_index").distinct()
-    todo = inputs.samples(t).select("source_index")
-    return batch.prefix_violations(todo, done, "source_index", "source_index")
+    done = t.lineitem.where("l_returnflag = 'A'").selectExpr("l_orderkey AS source_index")
+    return batch.prefix_gaps(inputs.samples(t).select("source_index"), done, "source_index")
 
 
 @query(
@@ -69,14 +68,37 @@ def _(t: Tables):
     )
 
 
-_ORDERED = """ordered AS (SELECT row_number() OVER (ORDER BY md5('7:' || CAST(o_orderkey AS STRING)),
-  o_orderkey) - 1 AS position, o_orderkey AS source_index FROM orders),
+def _round(turn: int) -> str:
+    """One round of the permutation in SQL; l and r are below a and b."""
+    k1, k2, k3 = batch.permutation_keys(7)[turn]
+    moved, other, side = ("l", "r", "a") if turn % 2 == 0 else ("r", "l", "b")
+    digest = f"(CAST({other} AS BIGINT) * {k1} + {k2}) % {batch.PRIME}"
+    source = f"round{turn - 1}" if turn else "pairs"
+    return (
+        f"round{turn} AS (SELECT i, a, b, {other}, ({moved} + (h * h + {k3}) % {batch.PRIME}) % {side} AS {moved} "
+        f"FROM (SELECT *, {digest} AS h FROM {source}))"
+    )
+
+
+# The permutation of every number below a * b; those below n walk until they are below n again.
+_ORDERED = f"""size AS (SELECT count(*) AS n, min(o_orderkey) AS low, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a
+  FROM orders),
+box AS (SELECT *, (n + a - 1) // a AS b FROM size),
+pairs AS (SELECT i, a, b, i % a AS l, i // a AS r FROM box, unnest(range(a * b)) AS u(i)),
+{", ".join(_round(turn) for turn in range(batch.ROUNDS))},
+steps AS (SELECT i, r * a + l AS p FROM round{batch.ROUNDS - 1}),
+walk AS (SELECT i, p, 0 AS k FROM steps, box WHERE i < n
+  UNION ALL SELECT w.i, s.p, k + 1 FROM walk w JOIN steps s ON s.i = w.p, box WHERE w.p >= n),
+ordered AS (SELECT p AS position, i + low AS source_index FROM walk, box WHERE p < n),
 padded AS (SELECT *, false AS repeated FROM ordered UNION ALL
-  SELECT position + 1, source_index, true FROM ordered
-  WHERE position = (SELECT count(*) - 1 FROM ordered) AND (SELECT count(*) FROM ordered) % 7 <> 0)"""
+  SELECT position + 1, source_index, true FROM ordered, box WHERE position = n - 1 AND n % 7 <> 0)"""
+
+
+def _recursive(cte: str) -> str:
+    return with_(cte).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("j04_seeded_order", with_(_ORDERED) + "SELECT * FROM padded")
+@query("j04_seeded_order", _recursive(_ORDERED) + "SELECT * FROM padded")
 def _(t: Tables):
     ids = t.orders.select(F.col("o_orderkey").alias("source_index"))
     return batch.seeded_order(ids, "source_index", 7, 7)
@@ -84,7 +106,7 @@ def _(t: Tables):
 
 @query(
     "j05_pair_assignment",
-    with_(_ORDERED) + "SELECT *, position // 7 AS cursor, position % 7 AS rank FROM padded",
+    _recursive(_ORDERED) + "SELECT *, position // 7 AS cursor, position % 7 AS rank FROM padded",
 )
 def _(t: Tables):
     ids = t.orders.select(F.col("o_orderkey").alias("source_index"))

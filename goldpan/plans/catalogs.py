@@ -509,6 +509,18 @@ def _(t: Tables):
     return cat.map_description_files(inputs.catalog(t), _described(t))
 
 
+@query(
+    "b21_files_not_mapped",
+    with_(CATALOG, _DESCRIBED_SQL, _MAPPED)
+    + """SELECT t.db_id, t.table_name, CASE WHEN max(b.ties) > 1 THEN 'ambiguous' ELSE 'no_match' END AS how
+FROM tabs t LEFT JOIN best b ON b.db_id = t.db_id AND b.table_name = t.table_name AND b.rn = 1
+WHERE (t.db_id, t.table_name) NOT IN (SELECT (db_id, table_name) FROM mapped) GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    choices = cat.description_choices(inputs.catalog(t), _described(t))
+    return choices.where("file IS NULL").drop("file")
+
+
 @query(
     "b22_column_descriptions",
     with_(CATALOG, _DESCRIBED_SQL, _MAPPED)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import constraints as c
-from ..operators import tokens
+from ..operators import datasets, tokens
 from . import inputs
 from .inputs import CANDIDATES, GOLD, LENGTHS, RAW, SAMPLES, with_
 from .registry import Tables, query
@@ -93,6 +93,37 @@ _PROPS = (
 )
 
 
+_RAW_EVENT = (
+    "CASE event_type WHEN 'click' THEN concat('{\"k\":true,\"m\":{\"v\":', CAST(event_id AS STRING), '}}') "
+    "WHEN 'view' THEN concat('{\"k\":', CAST(event_id AS STRING), '.0,\"m\":{\"v\":\"', CAST(event_id AS STRING), '\"}}') "
+    "WHEN 'purchase' THEN concat('{\"k\":\"', CAST(event_id AS STRING), '\"}') "
+    "WHEN 'error' THEN '{\"k\":null,\"m\":[1]}' ELSE props END"
+)
+
+
+def _json_type_sql(path: str) -> str:
+    return f"""CASE json_type(raw, '{path}') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer'
+  WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null'
+  WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'missing' END"""
+
+
+_TYPES = {"$.k": "integer", "$.m.v": "integer"}
+
+
+@query(
+    "c05_record_types",
+    f"WITH raws AS (SELECT event_id, {_RAW_EVENT} AS raw FROM events) SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT event_id, '{p}' AS path, '{e}' AS expected, {_json_type_sql(p)} AS found FROM raws"
+        for p, e in _TYPES.items()
+    )
+    + ") WHERE found <> expected",
+)
+def _(t: Tables):
+    raws = t.events.selectExpr("event_id", f"{_RAW_EVENT} AS raw")
+    return c.record_types(raws, "event_id", F.col("raw"), _TYPES)
+
+
 @query(
     "c06_field_set",
     f"""WITH e AS (SELECT event_id, json_keys({_PROPS}) AS ks FROM events)
@@ -179,15 +210,31 @@ def _(t: Tables):
     return c.passed(c.check_rows(inputs.candidates(t), "candidate_index", rules), list(rules))
 
 
+# Every seventh order has its gold statement in the evidence, as a careless annotator would leave it.
+_LEAKY = "CASE WHEN source_index % 7 = 0 THEN concat('try ', gold_sql, ' first') ELSE evidence END AS evidence"
+
+
 @query(
     "c11_leakage",
-    """SELECT doc_id FROM documents WHERE contains(text, concat(' ', lang, ' '))
-  OR contains(text, concat(source, ' '))""",
+    with_(SAMPLES)
+    + f"""SELECT 'benchmark' AS kind, CAST(doc_id AS STRING) AS record, CAST(item_id AS STRING) AS passage
+  FROM documents, benchmark WHERE trim(benchmark.text) <> '' AND contains(documents.text, benchmark.text)
+UNION ALL SELECT 'gold', sample_id, sample_id FROM (SELECT sample_id, gold_sql, question, {_LEAKY} FROM samples)
+  WHERE contains(concat(question, chr(10), evidence), gold_sql)""",
 )
 def _(t: Tables):
-    spaced = c.leaks(t.documents, "doc_id", F.col("text"), F.concat(F.lit(" "), "lang", F.lit(" ")))
-    sourced = c.leaks(t.documents, "doc_id", F.col("text"), F.concat("source", F.lit(" ")))
-    return spaced.union(sourced).distinct()
+    planted = c.contained_passages(t.documents, "doc_id", t.benchmark, "item_id").select(
+        F.lit("benchmark").alias("kind"), F.col("doc_id").cast("string").alias("record"),
+        F.col("item_id").cast("string").alias("passage"),
+    )
+    samples = inputs.samples(t).selectExpr("sample_id", "gold_sql", "question", _LEAKY)
+    prompt = F.element_at(
+        datasets.build_prompt(datasets.user_content(F.lit("TABLE t"), F.col("question"), F.col("evidence"))), 2
+    )["content"]
+    own = c.leaks(samples, "sample_id", prompt, F.col("gold_sql")).select(
+        F.lit("gold").alias("kind"), F.col("sample_id").alias("record"), F.col("sample_id").alias("passage")
+    )
+    return planted.unionByName(own)
 
 
 _WRAPS = {

@@ -167,10 +167,7 @@ FROM passk a JOIN passk b ON a.source_index = b.source_index
 WHERE a.system = 'greedy' AND b.system = 'vote'""",
 )
 def _(t: Tables):
-    rows = pass_k(t)
-    return metrics.transitions(
-        rows.where("system = 'greedy'"), rows.where("system = 'vote'"), ["source_index"]
-    )
+    return metrics.transitions(pass_k(t), "greedy", "vote", ["source_index"])
 
 
 _RATED = "round(100.0 * correct_count / sample_count, 3)"

@@ -206,58 +206,6 @@ def test_value_cap_stops_the_scan(spark):
     assert (stats["scanned_values"], stats["indexed_unique_values"]) == (5, 3)
 
 
-def brute_bm25(rows, terms):
-    import math
-    from collections import Counter
-
-    docs = {i: Counter(t.split()) for i, t in rows}
-    mean = sum(sum(c.values()) for c in docs.values()) / len(docs)
-    result = {}
-    for i, c in docs.items():
-        total = 0.0
-        for t in terms:
-            n = sum(1 for d in docs.values() if t in d)
-            idf = math.log((len(docs) - n + 0.5) / (n + 0.5)) if n else 0
-            idf = idf if idf > 0 else 1e-6
-            total += idf * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) if c[t] else 0
-        if total:
-            result[i] = -round(total, 9)
-    return result
-
-
-def test_bm25_against_brute_force(spark):
-    rng = random.Random(1)
-    words = ["red", "green", "blue", "ring", "widget", "steel", "brass", "tin"]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(60)]
-    frame = spark.createDataFrame(
-        [("d", i, "t", "c", "value", x, x) for i, x in rows],
-        "db_id string, row_id int, table_name string, column_name string, row_kind string, value string, search_text string",
-    )
-    asked = spark.createDataFrame([(1, "d", "red brass", "")], "q int, db_id string, question string, evidence string")
-    terms = index.question_terms(asked, "q", ["db_id"])
-    got = {r["row_id"]: r["score"] for r in index.bm25(terms, frame, "q", ["db_id"], "row_id", 256).collect()}
-    assert got == pytest.approx(brute_bm25(rows, ["red", "brass"]))
-
-
-def test_bm25_gives_copies_their_rows(spark):
-    rows = [(i, "red brass ring" if i % 3 else "red tin") for i in range(900)]
-    frame = spark.createDataFrame(
-        [("d", i, "t", "c", "value", x, x) for i, x in rows],
-        "db_id string, row_id int, table_name string, column_name string, row_kind string, value string, search_text string",
-    )
-    asked = spark.createDataFrame(
-        [(q, "d", "tin?", "") for q in range(5)] + [(9, "other", "tin", "")],
-        "q int, db_id string, question string, evidence string",
-    )
-    terms = index.question_terms(asked, "q", ["db_id"])
-    got = index.bm25(terms, frame, "q", ["db_id"], "row_id", 256).collect()
-    assert {r["q"] for r in got} == set(range(5))
-    for q in range(5):
-        mine = sorted((r["hit_rank"], r["row_id"]) for r in got if r["q"] == q)
-        assert mine == [(i + 1, 3 * i) for i in range(256)]
-    assert got[0]["score"] == pytest.approx(brute_bm25(rows, ["tin"])[0])
-
-
 def test_name_matching(spark):
     ours = spark.createDataFrame([("d", n) for n in ["Id", "Name", "É", "Gone", "Amb"]], "scope string, name string")
     live = spark.createDataFrame([("d", n) for n in ["Id", "NAME", "é", "AMB", "amb", "New"]], "scope string, name string")
@@ -353,6 +301,24 @@ def test_guard(spark):
         "SELECT 1 -- don't\n, 2": "ok",
         "SELECT '-- no; comment' AS `a;b`": "ok",
         "SELECT try_reflect /* x */ ('a', 'b')": "unsafe_sql",
+        "SELECT 1 --\r, reflect('a', 'b') AS x": "unsafe_sql",
+        "SELECT 1 --\r, load_extension('a')": "unsafe_sql",
+        "SELECT 1 -- a\r\n, load_extension('a')": "unsafe_sql",
+        "SELECT 1 -- '\r, load_extension('a') -- '": "unsafe_sql",
+        "SELECT 1 -- a\\\n still load_extension('a')": "ok",
+        "SELECT 1 -- a\\\r, load_extension('a')": "unsafe_sql",
+        "SELECT 1 /* /* */ ' */ , load_extension('a') /* ' */": "unsafe_sql",
+        "SELECT 1 /* /* */ load_extension('a') */ AS x": "ok",
+        "SELECT 1 /* /* /* /* deep */ */ */ */ AS x": "ok",
+        "SELECT 1 /* /* /* /* /* too deep */ */ */ */ */ AS x": "unsafe_sql",
+        "SELECT 1 /* not ended , load_extension('a')": "unsafe_sql",
+        "SELECT 'not ended": "unsafe_sql",
+        "SELECT /*+ h(' */ ') */ load_extension('a') AS x": "unsafe_sql",
+        "SELECT /*+ BROADCAST(t) */ * FROM t": "ok",
+        "SELECT $$ ' $$, load_extension('a'), $$ ' $$": "unsafe_sql",
+        "SELECT 1 /* reflect('a', 'b') */": "unsafe_sql",
+        "SELECT '" + "a\\'" * 2000 + "' AS long": "ok",
+        "SELECT 1 /* " + "x * / " * 3000 + "*/ AS long": "ok",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "sql string")
     got = {r["sql"]: r["v"] for r in rows.select("sql", audit.guard(F.col("sql")).alias("v")).collect()}
@@ -480,3 +446,92 @@ def test_seeded_order_pads_to_even(spark):
 def test_compact_metrics_fills_the_count(spark):
     runs = spark.createDataFrame([(1534, None, 61.147, 98.305), (10, 3, 30.0, 50.0)], "sample_count int, correct_count bigint, official_ex double, executable_rate double")
     assert [r["correct_count"] for r in metrics.compact_metrics(runs).collect()] == [938, 3]
+
+
+def test_contained_passages(spark):
+    from goldpan.operators import constraints
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    passage = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [(i, passage(rng.choice([3, 4, 5, 12]))) for i in range(40)]
+    passages += [(90, None), (91, "  "), (92, "two words"), (93, "with\nline end and more"), (94, "never said anywhere at all")]
+    texts = [(i, passage(40)) for i in range(60)]
+    texts += [(100 + i, f"pre{passage(3)} x{p}y {passage(2)}") for i, (_, p) in enumerate(passages) if p]
+    texts += [(300, None), (301, ""), (302, "with line end and more"), (303, "with\nline end and more")]
+    found = constraints.contained_passages(
+        spark.createDataFrame(texts, "doc int, text string").repartition(3), "doc",
+        spark.createDataFrame(passages, "item int, text string"), "item",
+    )
+    expected = {
+        (d, i) for d, t in texts for i, p in passages
+        if t and p and len(p.split()) > 2 and p in t
+    }
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected) and (303, 93) in expected and (302, 93) not in expected
+    short = constraints.short_passages(spark.createDataFrame(passages, "item int, text string"), "item")
+    assert [r.item for r in short.collect()] == [92]
+    none = constraints.contained_passages(
+        spark.createDataFrame([], "doc int, text string"), "doc", spark.createDataFrame([], "item int, text string"), "item"
+    )
+    assert none.collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000, 4099])
+def test_permutation_is_bijective(spark, n):
+    rows = batch.permuted(spark.range(n), "id", n, 7, "p").collect()
+    assert sorted(r.p for r in rows) == list(range(n))
+    if n > 90:
+        moved = batch.permuted(spark.range(n), "id", n, 8, "p").collect()
+        assert [r.p for r in rows] != [r.p for r in moved]
+        assert sum(abs(r.p - r.id) for r in rows) > n * n / 5  # neighbours do not stay together
+
+
+def test_seeded_order_does_not_sort(spark):
+    ids = spark.range(5, 1006).withColumnRenamed("id", "k")
+    plan = batch.seeded_order(ids, "k", 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    gaps = ids.where("k % 3 <> 0")
+    got = batch.seeded_order(gaps, "k", 3, 2).where("NOT repeated").collect()
+    assert sorted(r.position for r in got) == list(range(gaps.count())) and len({r.k for r in got}) == len(got)
+
+
+def test_contiguous_range_by_bitmaps(spark):
+    from goldpan.operators import constraints
+
+    n = 100_000
+    gone = {0, 1, 31, 32, 32767, 32768, 40000, 65535, 65536, 99_999} | set(range(70_000, 70_100))
+    rows = [(i,) for i in range(n) if i not in gone] + [(5,), (5,), (-1,), (-1,), (n,), (2**40,), (None,)]
+    df = spark.createDataFrame(rows, "id long")
+    got = sorted(((r.id is None, r.id or 0), r.issue) for r in constraints.contiguous_range(df, "id", n).collect())
+    want = [((False, i), "missing") for i in gone] + [((False, i), "unexpected") for i in (-1, n, 2**40)] + [((True, 0), "unexpected")]
+    assert got == sorted(want)
+    few = constraints.contiguous_range(df.where("id = 40001"), "id", 70_000)
+    assert few.count() == 69_999 and constraints.contiguous_range(df.where("id IS NULL"), "id", 0).count() == 1
+
+
+def test_prefix_gaps(spark):
+    rng = random.Random(9)
+    todo = [rng.randint(-70_000, 90_000) for _ in range(3000)]
+    done = rng.sample(todo, 1500) + [10**7, None] + [todo[0]] * 5
+    a = spark.createDataFrame([(i,) for i in todo] + [(None,)], "at long")
+    b = spark.createDataFrame([(i,) for i in done], "at long")
+    last = max(set(todo) & set(done))
+    got = [r.at for r in batch.prefix_gaps(a, b, "at").collect()]
+    assert sorted(got) == sorted(i for i in set(todo) - set(done) if i <= last)
+    assert batch.prefix_gaps(a, b.where("at > 1000000"), "at").collect() == []
+    same = batch.prefix_violations(a.distinct(), b, "at", "at").collect()
+    assert sorted(r.at for r in same) == sorted(got)
+
+
+def test_json_types_as_written(spark):
+    from goldpan.operators import constraints
+
+    cases = {
+        '{"a":1}': "integer", '{"a":-0}': "integer", '{"a":1.0}': "float", '{"a":1e3}': "float", '{"a":true}': "boolean",
+        '{"a":"1"}': "string", '{"a":null}': "null", '{"b":1}': "missing", '{"a":[1]}': "array", '{"a":{}}': "object",
+        '{"a":123456789012345678901}': "integer", "nope": "malformed", "[1]": "missing", None: "malformed",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r.raw: r.t for r in rows.select("raw", constraints.json_type(F.col("raw"), "$.a").alias("t")).collect()}
+    assert got == cases
