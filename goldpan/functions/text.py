@@ -27,8 +27,10 @@ def strip(c: Column) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    """Collapse every run of white space to one blank and trim; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){_SPACE}+", " "))
+    """Collapse every run of white space to one blank and trim; null becomes ''. Single blanks, which
+    are most runs, are left alone."""
+    runs = rf"(?U)[\s\x1c-\x1f&&[^ ]]{_SPACE}*| {_SPACE}+"
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), runs, " "))
 
 
 def quote_identifier(c: Column) -> Column:

@@ -156,8 +156,9 @@ def positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     dealt = rows.select(*keys, "search_text").repartition(keys[-1])
     tokens = dealt.select(*keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
     long = tokens.select(*keys, F.size("_tokens").alias("row_length"), F.posexplode("_tokens").alias("_at", "term"))
+    # The number comes first, since sorts compare it faster than names.
     return (
-        long.groupBy(*keys, "row_length", "term")
+        long.groupBy(F.xxhash64(keys[-1]).alias("_row"), "term", *keys, "row_length")
         .agg(F.array_sort(F.collect_list("_at")).alias("positions"))
         .withColumn("tf", F.size("positions"))
         .select(*keys, "term", "row_length", "tf", "positions")
@@ -240,19 +241,20 @@ def best_rows(phrases: DataFrame, stored: StoredIndex, key: str, n: int) -> Data
 
 def _matches(queries: DataFrame, stored: StoredIndex) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics) of the asked phrases: (split, db_id, row_id, row_length, phrase, tf)
-    inside the databases that ask, and (split, db_id, phrase, df, max_tf, min_length) everywhere."""
+    inside the databases that ask, of phrases of several tokens everywhere, and (split, db_id,
+    phrase, df, max_tf, min_length) everywhere."""
     asked = queries.select("phrase").distinct()
-    several = asked.where(F.contains("phrase", F.lit(" ")))
-    single = asked.where(~F.contains("phrase", F.lit(" ")))
-    long = cut(phrase_postings(stored, several))
-    inside = queries.select(*DATABASE, "phrase").distinct()
+    several = F.contains("phrase", F.lit(" "))
+    inside = queries.where(~several).select(*DATABASE, "phrase").distinct()
     short = stored.postings().select(*DATABASE, "row_id", "row_length", F.col("term").alias("phrase"), "tf")
-    postings = short.unionByName(long).join(inside, [*DATABASE, "phrase"], "left_semi")
-    known = stored.terms().withColumnRenamed("term", "phrase").drop("occurrences").join(single, "phrase", "left_semi")
-    counted = long.groupBy(*DATABASE, "phrase").agg(
+    postings = cut(
+        short.join(inside, [*DATABASE, "phrase"], "left_semi").unionByName(phrase_postings(stored, asked.where(several)))
+    )
+    known = stored.terms().withColumnRenamed("term", "phrase").drop("occurrences")
+    counted = postings.where(several).groupBy(*DATABASE, "phrase").agg(
         F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("row_length").alias("min_length")
     )
-    return cut(postings), cut(known.unionByName(counted))
+    return postings, known.join(asked.where(~several), "phrase", "left_semi").unionByName(counted)
 
 
 def scored_rows(queries: DataFrame, stored: StoredIndex, n: int) -> DataFrame:
@@ -271,7 +273,7 @@ def scored_rows(queries: DataFrame, stored: StoredIndex, n: int) -> DataFrame:
 
     # A score that the n-th row reaches for sure, from the rarest terms whose rows number n.
     rare = Window.partitionBy("_query").orderBy("df", "phrase")
-    lead = terms.withColumn("_before", F.sum("df").over(rare) - F.col("df"))
+    lead = cut(terms.withColumn("_before", F.sum("df").over(rare) - F.col("df")))
     sure = (
         postings.join(lead.where(F.col("_before") < n), [*DATABASE, "phrase"])
         .groupBy("_query", "row_id").agg(F.sum(part).alias("_sure"))

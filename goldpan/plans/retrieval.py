@@ -211,7 +211,7 @@ def _live_rows(t: Tables):
 )
 def _(t: Tables):
     stored = _stored(t, "live")
-    stored.refresh(_live_rows(t), lambda rows: rows)
+    stored.refresh(t.once("live rows", lambda: _live_rows(t)), lambda rows: rows)
     named = stored.rows().select(*retrieval_index.DATABASE, "row_id", *index.COLUMN, "row_kind", "value")
     return stored.postings().join(named, [*retrieval_index.DATABASE, "row_id"]).drop("row_id")
 
