@@ -618,14 +618,12 @@ def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
     most column names, if that file is unique. Since a choice depends on those before it, the open
     tables of one database and their candidates are one value.
     """
-    columns = cut(columns.select("db_id", "table_name", "table_ordinal", "column_name"))
-    described = cut(described.select("db_id", "file", "original_column_name"))
-    tables = columns.groupBy("db_id", "table_name").agg(
-        F.min("table_ordinal").alias("table_ordinal")
-    )
-    files = described.select("db_id", "file").distinct()
-    named = tables.withColumn("_stem", _file_stem()).join(
-        files.withColumn("_stem", text.casefold(F.col("file"))), ["db_id", "_stem"]
+    names = F.collect_set(text.casefold(F.col("column_name"))).alias("_columns")
+    tables = cut(columns.groupBy("db_id", "table_name").agg(F.min("table_ordinal").alias("table_ordinal"), names))
+    texts = F.collect_set(text.casefold(F.col("original_column_name"))).alias("_columns")
+    files = cut(described.groupBy("db_id", "file").agg(texts))
+    named = tables.select("db_id", "table_name", "table_ordinal", _file_stem().alias("_stem")).join(
+        files.select("db_id", "file", text.casefold(F.col("file")).alias("_stem")), ["db_id", "_stem"]
     )
     single = named.groupBy("db_id", "table_name", "table_ordinal").agg(
         F.count("*").alias("_n"), F.min("file").alias("file")
@@ -636,19 +634,11 @@ def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
         .agg(F.min_by("table_name", "table_ordinal").alias("table_name"))
         .select("db_id", "table_name", "file", F.lit("name").alias("how"))
     )
-    open_tables = cut(tables.join(exact, ["db_id", "table_name"], "left_anti"))
-    wanted = (
-        columns.drop("table_ordinal").join(open_tables, ["db_id", "table_name"])
-        .select("db_id", "table_name", "table_ordinal", text.casefold(F.col("column_name")).alias("_column"))
-        .distinct()
-    )
-    offered = (
-        described.join(open_tables.select("db_id").distinct(), "db_id", "left_semi")
-        .join(exact.select("db_id", "file"), ["db_id", "file"], "left_anti")
-        .select("db_id", "file", text.casefold(F.col("original_column_name")).alias("_column"))
-        .where(F.col("_column") != "")
-        .distinct()
-    )
+    open_tables = tables.join(exact, ["db_id", "table_name"], "left_anti")
+    wanted = open_tables.select("db_id", "table_name", "table_ordinal", F.explode("_columns").alias("_column"))
+    offered = files.join(exact, ["db_id", "file"], "left_anti").select(
+        "db_id", "file", F.explode("_columns").alias("_column")
+    ).where(F.col("_column") != "")
     scores = wanted.join(offered, ["db_id", "_column"]).groupBy("db_id", "table_name", "table_ordinal", "file").agg(
         F.count("*").alias("score")
     )
@@ -660,7 +650,7 @@ def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
     )
     chosen = in_order.select("db_id", F.inline(_choices(F.col("_tables"))))
     missed = F.when(F.col("ties") > 1, "ambiguous").otherwise("no_match")
-    rest = open_tables.join(chosen, ["db_id", "table_name"], "left").select(
+    rest = open_tables.drop("_columns").join(chosen, ["db_id", "table_name"], "left").select(
         "db_id", "table_name", "file", F.when(F.col("file").isNotNull(), "overlap").otherwise(missed).alias("how")
     )
     return exact.unionByName(rest)

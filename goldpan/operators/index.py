@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -25,17 +26,36 @@ COLUMN = ["table_name", "column_name"]
 HIT_SCORE_DIGITS = 9
 
 
-def _long_cells(
-    df: DataFrame, table: str, order: Sequence[str], columns: Sequence[str]
-) -> DataFrame:
-    """(table, column, sort key, distance, value) for every non-null cell.
+def _last_of_first(rows: DataFrame, lead: str, limit: int):
+    """Largest leading key of the ``limit`` smallest, or None if there are fewer; Spark keeps
+    ``limit`` keys per task."""
+    first = rows.select(lead).where(F.col(lead).isNotNull()).orderBy(lead).limit(limit)
+    n, last = first.agg(F.count("*"), F.max(lead)).first()
+    return last if n >= limit else None
+
+
+def key_bounds(df: DataFrame, lead: str, columns: Sequence[str], limit: int) -> dict[str, object]:
+    """For each column a leading key, of any ordered type, up to which its first ``limit`` non-null
+    values stand; None if there may be fewer.
 
-    ``distance`` is a logarithmic bucket of the leading key counted from its minimum: fine
-    where the first rows are, coarse far away.
+    The bound of the rows holds for every column that is full enough up to it, which a count of the
+    rows below it tells; a sparser column gets a bound of its own.
     """
-    lead = F.col(order[0])
-    lowest = df.agg(F.min(lead)).scalar()
-    distance = F.floor(F.log2(lead - lowest + 1) * 16).cast("int")
+    whole = _last_of_first(df, lead, limit)
+    if whole is None:
+        return dict.fromkeys(columns)
+    below = df.where(F.col(lead) <= F.lit(whole)).agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
+    return {
+        c: whole if below[c] >= limit else _last_of_first(df.where(F.col(c).isNotNull()), lead, limit) for c in columns
+    }
+
+
+def _cells(df: DataFrame, table: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(table_name, _key, column_name, value) for every non-null cell. Numeric keys have one type in
+    all tables, so that the tables can be ranked together."""
+    kinds = dict(df.dtypes)
+    numeric = all(kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "decimal", "float", "double")) for c in order)
+    key = F.array(*[F.col(c).cast("decimal(38,6)") for c in order]) if numeric else F.struct(*order)
     cells = F.explode(
         F.array(
             *[
@@ -44,46 +64,53 @@ def _long_cells(
             ]
         )
     )
-    key = F.array(*[F.col(c).cast("decimal(38,6)") for c in order])
     return (
-        df.select(
-            F.lit(table).alias("table_name"), key.alias("_key"), distance.alias("_distance"),
-            cells.alias("_cell"),
-        )
-        .select("table_name", "_key", "_distance", "_cell.*")
+        df.where(F.col(order[0]).isNotNull())
+        .select(F.lit(table).alias("table_name"), key.alias("_key"), cells.alias("_cell"))
+        .select("table_name", "_key", "_cell.*")
         .where(F.col("value").isNotNull())
     )
 
 
+def scanned_cells(
+    frames: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str]]], limit: int = SCAN_ROWS
+) -> list[DataFrame]:
+    """The cells among which the first ``limit`` of every column are, one frame per type of key.
+
+    Bounds are literals in the filter of the scan, so row groups beyond them are not read.
+    """
+    used = {name: frame for name, frame in frames.items() if frame[2]}
+    with ThreadPoolExecutor(4) as pool:  # small jobs that wait for each other otherwise
+        bounds = list(pool.map(lambda f: key_bounds(f[0], f[1][0], f[2], limit), used.values()))
+    kinds: dict[str, DataFrame] = {}
+    for (name, (df, order, columns)), found in zip(used.items(), bounds):
+        for bound in dict.fromkeys(found.values()):
+            some = [c for c in columns if found[c] == bound]
+            rows = df if bound is None else df.where(F.col(order[0]) <= F.lit(bound))
+            part = _cells(rows, name, order, some)
+            kind = part.schema["_key"].dataType.simpleString()
+            kinds[kind] = kinds[kind].unionByName(part) if kind in kinds else part
+    return list(kinds.values())
+
+
 def scan_tables(
     frames: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str]]],
     limit: int = SCAN_ROWS,
 ) -> DataFrame:
     """First ``limit`` non-null values of every column, in key order.
 
-    ``frames`` maps a table name to (frame, numeric key columns, value columns). A histogram
-    of the key distance finds the range that must hold the first rows of each column; only
-    that range is shuffled and ranked. The result is exact for any key distribution, which
-    only changes how many rows are ranked.
+    ``frames`` maps a table name to (frame, key columns of any ordered types, value columns). Only
+    rows up to the bound of ``key_bounds`` are read and ranked; rows without a leading key are not
+    scanned. The result is exact for any key distribution, which only changes how many rows are
+    ranked.
     """
-    parts = [_long_cells(df, name, order, cols) for name, (df, order, cols) in frames.items()]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    sizes = long.groupBy(*COLUMN, "_distance").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*COLUMN).orderBy("_distance"))
-    needed = (
-        sizes.withColumn("_before", upto - F.col("_n"))
-        .where(F.col("_before") < limit)
-        .groupBy(*COLUMN)
-        .agg(F.max("_distance").alias("_last"))
-    )
-    near = long.join(needed, COLUMN).where(F.col("_distance") <= F.col("_last"))
-    ranked = first_per_group(
-        near.drop("_distance", "_last"), COLUMN, [F.col("_key")], limit, "scan_order"
-    )
+    ranked = None
+    for cells in scanned_cells(frames, limit):
+        some = first_per_group(cells, COLUMN, [F.col("_key")], limit, "scan_order")
+        some = some.select(*COLUMN, "scan_order", "value")
+        ranked = some if ranked is None else ranked.unionByName(some)
     # At most ``limit`` rows per column, read by several aggregates: kept once.
-    return cut(ranked.select(*COLUMN, "scan_order", "value"))
+    return cut(ranked)
 
 
 def bounded_scan(
