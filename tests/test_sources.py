@@ -56,6 +56,30 @@ def test_description_csv_encodings(spark, tmp_path):
         assert got == {"id": 'two lines "q"', "price": "costs 5 €"}
 
 
+def test_description_csv_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(
+        b'x,x,"y, z"\r\n1,2,"a ""b"" c"\r\n\r\n"",say "hi",\n"never ended,4\nshort\n1,2,3,4'
+    )
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "head.csv").write_bytes(b"only,a,header\n")
+    rows = csvs.scan_description_csv(spark, str(tmp_path)).collect()
+    got = sorted((r["x"], r["y, z"]) for r in rows)
+    assert got == sorted([("2", 'a "b" c'), ('say "hi"', ""), ("4", ""), ("", ""), ("2", "3")])
+    with pytest.raises(FileNotFoundError):
+        csvs.scan_description_csv(spark, str(tmp_path), "*.none")
+
+
+def test_many_description_files_share_one_plan(spark, tmp_path):
+    for i in range(400):
+        name = f"h{i % 40}"
+        (tmp_path / f"{i}.csv").write_text(f"original_column_name,{name}\ncol{i},v{i}\n", encoding="utf-8")
+    rows = csvs.scan_description_csv(spark, str(tmp_path))
+    assert len(rows.columns) == 42
+    got = {r["original_column_name"]: {c for c in rows.columns[1:] if r[c]} for r in rows.collect()}
+    assert got == {f"col{i}": {"original_column_name", f"h{i % 40}"} for i in range(400)}
+    assert "Union" not in rows._jdf.queryExecution().toString()
+
+
 def test_publish_switches_versions(spark, tmp_path):
     root = str(tmp_path)
     files.publish(spark.range(5), root, "numbers")
