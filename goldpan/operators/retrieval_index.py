@@ -77,6 +77,7 @@ class StoredIndex:
         return whole.join(live, [*DATABASE, "written_by"], "left_semi").drop("written_by")
 
     def rows(self) -> DataFrame:
+        """search_text is null where it is the value."""
         return self._table("rows", _ROWS)
 
     def postings(self) -> DataFrame:
@@ -130,8 +131,10 @@ class StoredIndex:
             return changed
         number = version + 1
         mine = changed.withColumn("written_by", F.lit(number).cast("bigint"))
-        self._write(build(source.join(changed, DATABASE, "left_semi")), "rows", number, "row_id")
-        rows = self._table("rows", _ROWS, mine)
+        made = build(source.join(changed, DATABASE, "left_semi"))
+        # Most rows are searched by their value, which is not stored twice.
+        self._write(made.withColumn("search_text", F.nullif("search_text", "value")), "rows", number, "row_id")
+        rows = self._table("rows", _ROWS, mine).withColumn("search_text", F.coalesce("search_text", "value"))
         self._write(positions(rows, [*DATABASE, "row_id"]), "postings", number, "term", "row_id")
         postings = self._table("postings", _POSTINGS, mine)
         terms = postings.groupBy(*DATABASE, "term").agg(
@@ -152,17 +155,27 @@ class StoredIndex:
 
 def positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, row_length, tf, positions): the terms of each row's search_text and where they
-    stand, from 0. Rows meet no others here, so only their texts are dealt out, by row."""
-    dealt = rows.select(*keys, "search_text").repartition(keys[-1])
-    tokens = dealt.select(*keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
-    long = tokens.select(*keys, F.size("_tokens").alias("row_length"), F.posexplode("_tokens").alias("_at", "term"))
-    # The number comes first, since sorts compare it faster than names.
-    return (
-        long.groupBy(F.xxhash64(keys[-1]).alias("_row"), "term", *keys, "row_length")
-        .agg(F.array_sort(F.collect_list("_at")).alias("positions"))
-        .withColumn("tf", F.size("positions"))
-        .select(*keys, "term", "row_length", "tf", "positions")
+    stand, from 0. A row's tokens are sorted and parted inside the row, so nothing is shuffled."""
+    tokens = rows.select(*keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
+    # Each step is a column of its own, so that none is worked out anew for every element.
+    placed = F.sort_array(F.transform("_tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    sorted_ = tokens.select(*keys, F.size("_tokens").alias("row_length"), placed.alias("_sorted")).where("row_length > 0")
+    first = F.filter(
+        F.sequence(F.lit(0), F.col("row_length") - 1),
+        lambda i: (i == 0) | (F.get("_sorted", i)["t"] != F.get("_sorted", i - 1)["t"]),
     )
+    parted = sorted_.select(*keys, "row_length", "_sorted", first.alias("_first"))
+
+    def posting(start: Column, number: Column) -> Column:
+        behind = F.coalesce(F.get("_first", number + 1), F.col("row_length"))
+        return F.struct(
+            F.get("_sorted", start)["t"].alias("term"),
+            (behind - start).alias("tf"),
+            F.transform(F.slice("_sorted", start + 1, behind - start), lambda p: p["i"]).alias("positions"),
+        )
+
+    long = parted.select(*keys, "row_length", F.inline(F.transform("_first", posting)))
+    return long.select(*keys, "term", "row_length", "tf", "positions")
 
 
 # --- phrases ------------------------------------------------------------------------------------
