@@ -104,10 +104,12 @@ class StoredIndex:
             return self.spark.createDataFrame([], _STATE)
         return self.spark.read.schema(_STATE).parquet(f"{self.path}/state/version={number}")
 
-    def _write(self, df: DataFrame, name: str, number: int, *order: str) -> None:
-        """Replaces the partitions that ``df`` has rows of. Partitions of a large database are
-        split and small ones put together before writing, as their measured sizes ask."""
-        dealt = df.withColumn("written_by", F.lit(number).cast("bigint")).hint("rebalance", *[F.col(c) for c in DATABASE])
+    def _write(self, df: DataFrame, name: str, number: int, *order: str, deal: bool = True) -> None:
+        """Replaces the partitions that ``df`` has rows of. ``deal`` splits partitions of a large
+        database and puts small ones together before writing, as their measured sizes ask."""
+        dealt = df.withColumn("written_by", F.lit(number).cast("bigint"))
+        if deal:
+            dealt = dealt.hint("rebalance", *[F.col(c) for c in DATABASE])
         dealt.sortWithinPartitions(*DATABASE, *order).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*DATABASE).parquet(f"{self.path}/{name}")
@@ -135,7 +137,8 @@ class StoredIndex:
         # Most rows are searched by their value, which is not stored twice.
         self._write(made.withColumn("search_text", F.nullif("search_text", "value")), "rows", number, "row_id")
         rows = self._table("rows", _ROWS, mine).withColumn("search_text", F.coalesce("search_text", "value"))
-        self._write(positions(rows, [*DATABASE, "row_id"]), "postings", number, "term", "row_id")
+        # The rows lie by database already, in files of a fitting size: their postings stay with them.
+        self._write(positions(rows, [*DATABASE, "row_id"]), "postings", number, "term", "row_id", deal=False)
         postings = self._table("postings", _POSTINGS, mine)
         terms = postings.groupBy(*DATABASE, "term").agg(
             F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("row_length").alias("min_length"),

@@ -142,10 +142,10 @@ def test_refresh_that_broke_off_is_done_again(spark, tmp_path, monkeypatch):
     frame = spark.createDataFrame(rows_of(new), ROWS)
     whole = ri.StoredIndex._write
 
-    def broken(self, df, name, number, *order):
+    def broken(self, df, name, number, *order, **how):
         if name == "terms":
             raise RuntimeError("lost")
-        whole(self, df, name, number, *order)
+        whole(self, df, name, number, *order, **how)
 
     monkeypatch.setattr(ri.StoredIndex, "_write", broken)
     with pytest.raises(RuntimeError):
