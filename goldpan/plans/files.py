@@ -95,6 +95,10 @@ _DESCRIPTION = (
 )
 
 
+#: Rows of one description file; such files are small, and each is read as one value.
+_FILE_ROWS = 5000
+
+
 @query(
     "a05_description_csv",
     r"""SELECT p_name AS original_column_name, concat('Größe ', p_type, ' "', p_brand, '"') AS column_description,
@@ -110,6 +114,7 @@ def _(t: Tables):
             rows.toDF(first, "column_description ", "value_description")
             .write.option("header", True).option("escape", '"').option("encoding", encoding)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("maxRecordsPerFile", _FILE_ROWS)
             .csv(f"{root}/{'legacy' if legacy else 'unicode'}")
         )
     rows = csvs.scan_description_csv(t.spark, root)

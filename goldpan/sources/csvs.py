@@ -59,7 +59,9 @@ def description_records(spark: SparkSession, path: str, glob: str = "*.csv") ->
         "file", F.filter(F.regexp_extract_all("_text", F.lit(_RECORD), F.lit(1)), lambda r: r != "").alias("_records")
     ).where(F.size("_records") > 0)
     header = F.transform(_fields(F.get("_records", F.lit(0))), strip)
-    rows = records.select("file", header.alias("header"), F.posexplode("_records").alias("place", "_record"))
+    # In a step of its own, since each exploded row would carry all records to work its header out from.
+    headed = records.select("file", header.alias("header"), "_records")
+    rows = headed.select("file", "header", F.posexplode("_records").alias("place", "_record"))
     return rows.where("place > 0").select("file", "header", "place", _fields(F.col("_record")).alias("values"))
 
 
