@@ -83,7 +83,8 @@ def _corpus(t: Tables, only: list[str] | None = None):
     )
     slot = (F.col("source_index") % len(pairs)).cast("int")
     samples = inputs.samples(t).select("source_index", "sample_id", slot.alias("slot"))
-    return samples.join(table, "slot").drop("slot")
+    # Spark does not know how short a list from the driver is; a shuffle by slot would have as many keys as it.
+    return samples.join(F.broadcast(table), "slot").drop("slot")
 
 
 def _lit(text: str) -> str:
