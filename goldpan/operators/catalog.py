@@ -672,7 +672,8 @@ def column_descriptions(
         described.withColumn("_column", text.casefold(F.col("original_column_name")))
         .where(F.col("_column") != "")
         .groupBy("db_id", "file", "_column")
-        .agg(*[F.max_by(f, "row_ordinal").alias(f) for f in DESCRIPTION_FIELDS])
+        .agg(F.max_by(F.struct(*DESCRIPTION_FIELDS), "row_ordinal").alias("_last"))
+        .select("db_id", "file", "_column", "_last.*")
     )
     by_table = mapping.select("db_id", "table_name", "file").join(last, ["db_id", "file"]).drop("file")
     return (

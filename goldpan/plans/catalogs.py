@@ -497,16 +497,28 @@ mapped AS (SELECT *, 'name' AS how FROM exact UNION ALL
   SELECT db_id, table_name, file, 'overlap' FROM best WHERE rn = 1 AND ties = 1)"""
 
 
-def _described(t: Tables):
-    columns = inputs.catalog(t)
-    return columns.selectExpr(*_DESCRIBED).unionByName(
-        columns.where("declared_type = 'date'").selectExpr(*_REPEATS)
+def _catalog(t: Tables):
+    """The catalog from its joined rows, kept as the numbers it is derived from: several passes read it."""
+    return inputs.derived_catalog(t.once("catalog rows", lambda: inputs.catalog_rows(t)))
+
+
+def _described(columns):
+    """Both kinds of rows in one pass over the columns."""
+    kinds = F.expr(
+        "CASE WHEN declared_type = 'date' THEN "
+        f"array({_as_struct(_DESCRIBED)}, {_as_struct(_REPEATS)}) ELSE array({_as_struct(_DESCRIBED)}) END"
     )
+    return columns.select(F.inline(kinds))
+
+
+def _as_struct(fields) -> str:
+    return f"struct({', '.join(fields)})"
 
 
 @query("b21_description_files", with_(CATALOG, _DESCRIBED_SQL, _MAPPED) + "SELECT * FROM mapped")
 def _(t: Tables):
-    return cat.map_description_files(inputs.catalog(t), _described(t))
+    columns = _catalog(t)
+    return cat.map_description_files(columns, _described(columns))
 
 
 @query(
@@ -517,7 +529,8 @@ FROM tabs t LEFT JOIN best b ON b.db_id = t.db_id AND b.table_name = t.table_nam
 WHERE (t.db_id, t.table_name) NOT IN (SELECT (db_id, table_name) FROM mapped) GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    choices = cat.description_choices(inputs.catalog(t), _described(t))
+    columns = _catalog(t)
+    choices = cat.description_choices(columns, _described(columns))
     return choices.where("file IS NULL").drop("file")
 
 
@@ -533,7 +546,8 @@ FROM catalog c LEFT JOIN mapped m ON m.db_id = c.db_id AND m.table_name = c.tabl
 LEFT JOIN last_ l ON l.db_id = m.db_id AND l.file = m.file AND l.k = lower(c.column_name)""",
 )
 def _(t: Tables):
-    columns, described = inputs.catalog(t), _described(t)
+    columns = _catalog(t)
+    described = _described(columns)
     mapping = cat.map_description_files(columns, described)
     return cat.column_descriptions(columns, mapping, described).select(
         "db_id", "table_name", "ordinal", *cat.DESCRIPTION_FIELDS
