@@ -32,6 +32,10 @@ from .ranks import top_per_group
 DATABASE = ["split", "db_id"]
 #: Bounds are sums of doubles in another order than the scores they bound.
 SLACK = 1e-6
+#: Pairs of a query and a row that one task scores, if every row of a database meets its queries.
+PAIRS = 1 << 20
+#: Rows of query terms up to which they are sent to every task.
+SMALL_QUERIES = 1 << 20
 
 _PLACE = "written_by bigint, split string, db_id string"
 _ROWS = "row_id string, table_name string, column_name string, row_kind string, value string, search_text string"
@@ -273,9 +277,27 @@ def _matches(queries: DataFrame, stored: StoredIndex) -> tuple[DataFrame, DataFr
     return postings, known.join(asked.where(~several), "phrase", "left_semi").unionByName(counted)
 
 
+def _by_row(postings: DataFrame, queries: DataFrame, state: DataFrame) -> DataFrame:
+    """Postings dealt by row, so that the sums over the terms of a query and a row need no shuffle of
+    their own; as many parts as the pairs of queries and rows ask."""
+    asking = queries.groupBy(*DATABASE).agg(F.count_distinct("_query").alias("_asking"))
+    pairs = state.join(asking, DATABASE).agg(F.sum(F.col("row_count") * F.col("_asking"))).first()[0] or 0
+    return postings.repartition(max(1, -(-pairs // PAIRS)), *DATABASE, "row_id")
+
+
 def scored_rows(queries: DataFrame, stored: StoredIndex, n: int) -> DataFrame:
-    """(_query, row_id, score) of every row that can be among the ``n`` best of its query."""
-    postings, statistics = _matches(queries, stored)
+    """(_query, row_id, score) of every row that can be among the ``n`` best of its query.
+
+    A row's postings lie in one task and the terms of the queries, unless they are many, are sent
+    there: what leaves a task are sums, at most ``n`` of a query."""
+    row = ["_query", *DATABASE, "row_id"]
+    found, statistics = _matches(queries, stored)
+    postings = _by_row(found, queries, stored.state())
+    few = queries.count() <= SMALL_QUERIES
+
+    def sent(terms: DataFrame) -> DataFrame:
+        return F.broadcast(terms) if few else terms
+
     sizes = stored.state().agg(F.sum("row_count").alias("n"), F.sum("token_count").alias("l")).first()
     rows_in_all, mean = F.lit(float(sizes["n"] or 0)), F.lit(float(sizes["l"] or 0) / max(sizes["n"] or 0, 1))
     everywhere = statistics.groupBy("phrase").agg(F.sum("df").alias("_rows"))
@@ -291,8 +313,8 @@ def scored_rows(queries: DataFrame, stored: StoredIndex, n: int) -> DataFrame:
     rare = Window.partitionBy("_query").orderBy("df", "phrase")
     lead = cut(terms.withColumn("_before", F.sum("df").over(rare) - F.col("df")))
     sure = (
-        postings.join(lead.where(F.col("_before") < n), [*DATABASE, "phrase"])
-        .groupBy("_query", "row_id").agg(F.sum(part).alias("_sure"))
+        postings.join(sent(lead.where(F.col("_before") < n)), [*DATABASE, "phrase"])
+        .groupBy(*row).agg(F.sum(part).alias("_sure"))
     )
     place = F.row_number().over(Window.partitionBy("_query").orderBy(F.col("_sure").desc()))
     edge = sure.withColumn("_place", place).where(F.col("_place") <= n).where(F.col("_place") == n)
@@ -309,15 +331,15 @@ def scored_rows(queries: DataFrame, stored: StoredIndex, n: int) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("_extra"), F.col("_upto"))), F.lit(0.0)).alias("_slack"),
         F.coalesce(F.max("_edge"), F.lit(0.0)).alias("_edge"),
     )
-    main = postings.join(judged.where(~F.col("_extra")), [*DATABASE, "phrase"]).groupBy(
-        "_query", *DATABASE, "row_id"
-    ).agg(F.sum(part).alias("_main"))
+    main = postings.join(sent(judged.where(~F.col("_extra"))), [*DATABASE, "phrase"]).groupBy(*row).agg(
+        F.sum(part).alias("_main")
+    )
     able = cut(
-        main.join(slack, "_query").where(F.col("_main") + F.col("_slack") >= F.col("_edge")).drop("_slack", "_edge")
+        main.join(sent(slack), "_query").where(F.col("_main") + F.col("_slack") >= F.col("_edge")).drop("_slack", "_edge")
     )
     extra = judged.where("_extra").select("_query", "phrase", "_weight")
     added = able.select("_query", *DATABASE, "row_id").join(extra, "_query").join(
-        postings, [*DATABASE, "row_id", "phrase"]
+        found, [*DATABASE, "row_id", "phrase"]
     ).groupBy("_query", "row_id").agg(F.sum(part).alias("_more"))
     total = F.col("_main") + F.coalesce("_more", F.lit(0.0))
     return able.join(added, ["_query", "row_id"], "left").select(
