@@ -36,6 +36,10 @@ SLACK = 1e-6
 PAIRS = 1 << 20
 #: Rows of query terms up to which they are sent to every task.
 SMALL_QUERIES = 1 << 20
+#: Rows of a file of the index rows. What a task reads to make postings is packed from whole files.
+FILE_ROWS = 4000
+#: Tokens whose postings are made at once.
+BATCH_TOKENS = 200_000
 
 _PLACE = "written_by bigint, split string, db_id string"
 _ROWS = "row_id string, table_name string, column_name string, row_kind string, value string, search_text string"
@@ -108,15 +112,16 @@ class StoredIndex:
             return self.spark.createDataFrame([], _STATE)
         return self.spark.read.schema(_STATE).parquet(f"{self.path}/state/version={number}")
 
-    def _write(self, df: DataFrame, name: str, number: int, *order: str, deal: bool = True) -> None:
+    def _write(self, df: DataFrame, name: str, number: int, *order: str, deal: bool = True, file_rows: int = 0) -> None:
         """Replaces the partitions that ``df`` has rows of. ``deal`` splits partitions of a large
-        database and puts small ones together before writing, as their measured sizes ask."""
+        database and puts small ones together before writing, as their measured sizes ask.
+        ``file_rows``: rows after which a task begins a new file; 0 for no limit."""
         dealt = df.withColumn("written_by", F.lit(number).cast("bigint"))
         if deal:
             dealt = dealt.hint("rebalance", *[F.col(c) for c in DATABASE])
         dealt.sortWithinPartitions(*DATABASE, *order).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
-        ).partitionBy(*DATABASE).parquet(f"{self.path}/{name}")
+        ).option("maxRecordsPerFile", file_rows).partitionBy(*DATABASE).parquet(f"{self.path}/{name}")
 
     def refresh(self, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Bring the index up to ``source``; returns split, db_id of the databases written anew.
@@ -139,10 +144,11 @@ class StoredIndex:
         mine = changed.withColumn("written_by", F.lit(number).cast("bigint"))
         made = build(source.join(changed, DATABASE, "left_semi"))
         # Most rows are searched by their value, which is not stored twice.
-        self._write(made.withColumn("search_text", F.nullif("search_text", "value")), "rows", number, "row_id")
+        self._write(made.withColumn("search_text", F.nullif("search_text", "value")), "rows", number, "row_id", file_rows=FILE_ROWS)
         rows = self._table("rows", _ROWS, mine).withColumn("search_text", F.coalesce("search_text", "value"))
-        # The rows lie by database already, in files of a fitting size: their postings stay with them.
-        self._write(positions(rows, [*DATABASE, "row_id"]), "postings", number, "term", "row_id", deal=False)
+        # The rows lie by database already, in files of a fitting size: their postings stay with them,
+        # in the order of their rows. Sorting them by term would cost more than all other steps.
+        self._write(positions(rows, [*DATABASE, "row_id"]), "postings", number, deal=False)
         postings = self._table("postings", _POSTINGS, mine)
         terms = postings.groupBy(*DATABASE, "term").agg(
             F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("row_length").alias("min_length"),
@@ -162,27 +168,51 @@ class StoredIndex:
 
 def positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, row_length, tf, positions): the terms of each row's search_text and where they
-    stand, from 0. A row's tokens are sorted and parted inside the row, so nothing is shuffled."""
+    stand, from 0. Spark cuts the tokens; they are parted inside the row, so nothing is shuffled."""
+    kinds = dict(rows.dtypes)
+
+    # By value, so that executors need not have this package.
+    def part(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(len(keys))), 0).to_pylist()
+            start = 0
+            while start < len(sizes):
+                end, held = start, 0
+                while end < len(sizes) and held < most:
+                    held, end = held + sizes[end], end + 1
+                piece = batch.slice(start, end - start)
+                length = np.array(sizes[start:end], np.int64)
+                of = np.repeat(np.arange(end - start), length)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+                coded = piece.column(len(keys)).flatten().dictionary_encode()
+                code = coded.indices.to_numpy()
+                both = of * max(1, len(coded.dictionary)) + code
+                # Stable, so that the places of a term stay sorted.
+                order = np.argsort(both, kind="stable")
+                first = np.flatnonzero(np.diff(both[order], prepend=-1))
+                heads = order[first]
+                taken = pa.array(of[heads])
+                bounds = np.append(first, len(of))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[piece.column(i).take(taken) for i in range(len(keys))],
+                        coded.dictionary.take(pa.array(code[heads])).cast(pa.string()),
+                        pa.array(length[of[heads]].astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[order].astype(np.int32))),
+                    ],
+                    [*keys, "term", "row_length", "tf", "positions"],
+                )
+                start = end
+
+    most = BATCH_TOKENS
     tokens = rows.select(*keys, text.search_tokens(F.col("search_text")).alias("_tokens"))
-    # Each step is a column of its own, so that none is worked out anew for every element.
-    placed = F.sort_array(F.transform("_tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    sorted_ = tokens.select(*keys, F.size("_tokens").alias("row_length"), placed.alias("_sorted")).where("row_length > 0")
-    first = F.filter(
-        F.sequence(F.lit(0), F.col("row_length") - 1),
-        lambda i: (i == 0) | (F.get("_sorted", i)["t"] != F.get("_sorted", i - 1)["t"]),
-    )
-    parted = sorted_.select(*keys, "row_length", "_sorted", first.alias("_first"))
-
-    def posting(start: Column, number: Column) -> Column:
-        behind = F.coalesce(F.get("_first", number + 1), F.col("row_length"))
-        return F.struct(
-            F.get("_sorted", start)["t"].alias("term"),
-            (behind - start).alias("tf"),
-            F.transform(F.slice("_sorted", start + 1, behind - start), lambda p: p["i"]).alias("positions"),
-        )
-
-    long = parted.select(*keys, "row_length", F.inline(F.transform("_first", posting)))
-    return long.select(*keys, "term", "row_length", "tf", "positions")
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "term string, row_length int, tf int, positions array<int>"
+    # No filter here: Spark would move it below and cut every text twice.
+    return tokens.mapInArrow(part, schema)
 
 
 # --- phrases ------------------------------------------------------------------------------------
