@@ -115,7 +115,7 @@ def near_documents(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
         .mapInArrow(_shingle_rows, "cluster long, chunks long, digest binary, print long, grams array<long>")
     )
     rows = written(rows, "shingles").dropDuplicates(["digest"])
-    edges = tiled(rows, "grams").mapInArrow(compare_tiles(BITS, alike), "a binary, b binary")
+    edges = tiled(rows, "print", "grams").mapInArrow(compare_tiles(BITS, alike), "a binary, b binary")
     placed = texts.join(components(edges), texts["digest"] == F.col("node"), "left").select(
         "digest", "first", F.coalesce("root", "digest").alias("_root")
     )
