@@ -9,13 +9,14 @@ key_ordinal).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..session import cut
+from ..session import cut, discard, shuffles_freed
 from .ranks import top_per_group
 
 METADATA_SCHEMA = (
@@ -618,41 +619,45 @@ def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
     most column names, if that file is unique. Since a choice depends on those before it, the open
     tables of one database and their candidates are one value.
     """
-    names = F.collect_set(text.casefold(F.col("column_name"))).alias("_columns")
-    tables = cut(columns.groupBy("db_id", "table_name").agg(F.min("table_ordinal").alias("table_ordinal"), names))
-    texts = F.collect_set(text.casefold(F.col("original_column_name"))).alias("_columns")
-    files = cut(described.groupBy("db_id", "file").agg(texts))
-    named = tables.select("db_id", "table_name", "table_ordinal", _file_stem().alias("_stem")).join(
-        files.select("db_id", "file", text.casefold(F.col("file")).alias("_stem")), ["db_id", "_stem"]
-    )
-    single = named.groupBy("db_id", "table_name", "table_ordinal").agg(
-        F.count("*").alias("_n"), F.min("file").alias("file")
-    )
-    exact = cut(
-        single.where(F.col("_n") == 1)
-        .groupBy("db_id", "file")
-        .agg(F.min_by("table_name", "table_ordinal").alias("table_name"))
-        .select("db_id", "table_name", "file", F.lit("name").alias("how"))
-    )
-    open_tables = tables.join(exact, ["db_id", "table_name"], "left_anti")
-    wanted = open_tables.select("db_id", "table_name", "table_ordinal", F.explode("_columns").alias("_column"))
-    offered = files.join(exact, ["db_id", "file"], "left_anti").select(
-        "db_id", "file", F.explode("_columns").alias("_column")
-    ).where(F.col("_column") != "")
-    scores = wanted.join(offered, ["db_id", "_column"]).groupBy("db_id", "table_name", "table_ordinal", "file").agg(
-        F.count("*").alias("score")
-    )
-    candidates = scores.groupBy("db_id", "table_name", "table_ordinal").agg(
-        F.collect_list(F.struct("score", "file")).alias("candidates")
-    )
-    in_order = candidates.groupBy("db_id").agg(
-        F.sort_array(F.collect_list(F.struct("table_ordinal", "table_name", "candidates"))).alias("_tables")
-    )
-    chosen = in_order.select("db_id", F.inline(_choices(F.col("_tables"))))
-    missed = F.when(F.col("ties") > 1, "ambiguous").otherwise("no_match")
-    rest = open_tables.drop("_columns").join(chosen, ["db_id", "table_name"], "left").select(
-        "db_id", "table_name", "file", F.when(F.col("file").isNotNull(), "overlap").otherwise(missed).alias("how")
-    )
+    with shuffles_freed(columns.sparkSession):
+        names = F.collect_set(text.casefold(F.col("column_name"))).alias("_columns")
+        tables = cut(columns.groupBy("db_id", "table_name").agg(F.min("table_ordinal").alias("table_ordinal"), names))
+        texts = F.collect_set(text.casefold(F.col("original_column_name"))).alias("_columns")
+        files = cut(described.groupBy("db_id", "file").agg(texts))
+        named = tables.select("db_id", "table_name", "table_ordinal", _file_stem().alias("_stem")).join(
+            files.select("db_id", "file", text.casefold(F.col("file")).alias("_stem")), ["db_id", "_stem"]
+        )
+        single = named.groupBy("db_id", "table_name", "table_ordinal").agg(
+            F.count("*").alias("_n"), F.min("file").alias("file")
+        )
+        exact = cut(
+            single.where(F.col("_n") == 1)
+            .groupBy("db_id", "file")
+            .agg(F.min_by("table_name", "table_ordinal").alias("table_name"))
+            .select("db_id", "table_name", "file", F.lit("name").alias("how"))
+        )
+        open_tables = cut(tables.join(exact, ["db_id", "table_name"], "left_anti"))
+        open_files = cut(files.join(exact, ["db_id", "file"], "left_anti"))
+        discard(tables, files)
+        wanted = open_tables.select("db_id", "table_name", "table_ordinal", F.explode("_columns").alias("_column"))
+        offered = open_files.select("db_id", "file", F.explode("_columns").alias("_column")).where(F.col("_column") != "")
+        scores = wanted.join(offered, ["db_id", "_column"]).groupBy("db_id", "table_name", "table_ordinal", "file").agg(
+            F.count("*").alias("score")
+        )
+        candidates = scores.groupBy("db_id", "table_name", "table_ordinal").agg(
+            F.collect_list(F.struct("score", "file")).alias("candidates")
+        )
+        in_order = candidates.groupBy("db_id").agg(
+            F.sort_array(F.collect_list(F.struct("table_ordinal", "table_name", "candidates"))).alias("_tables")
+        )
+        chosen = in_order.select("db_id", F.inline(_choices(F.col("_tables"))))
+        missed = F.when(F.col("ties") > 1, "ambiguous").otherwise("no_match")
+        rest = cut(
+            open_tables.drop("_columns").join(chosen, ["db_id", "table_name"], "left").select(
+                "db_id", "table_name", "file", F.when(F.col("file").isNotNull(), "overlap").otherwise(missed).alias("how")
+            )
+        )
+        discard(open_tables, open_files)
     return exact.unionByName(rest)
 
 
@@ -664,21 +669,67 @@ def map_description_files(columns: DataFrame, described: DataFrame) -> DataFrame
 DESCRIPTION_FIELDS = ["column_description", "value_description", "data_format"]
 
 
+#: Columns of a catalog that are matched in one go; a larger one is taken in so many slices of its databases.
+AT_ONCE, SLICES = 1_000_000, 4
+
+
 def column_descriptions(
     columns: DataFrame, mapping: DataFrame, described: DataFrame
 ) -> DataFrame:
-    """Catalog columns with their descriptions; the last row of a repeated name counts."""
-    last = (
-        described.withColumn("_column", text.casefold(F.col("original_column_name")))
-        .where(F.col("_column") != "")
-        .groupBy("db_id", "file", "_column")
-        .agg(F.max_by(F.struct(*DESCRIPTION_FIELDS), "row_ordinal").alias("_last"))
-        .select("db_id", "file", "_column", "_last.*")
-    )
-    by_table = mapping.select("db_id", "table_name", "file").join(last, ["db_id", "file"]).drop("file")
+    """Catalog columns with their descriptions; the last row of a repeated name counts.
+
+    A table has one file at most in ``mapping``. Its columns and the rows of that file are shuffled
+    once, as lists, and matched where they meet. A large catalog is taken slice by slice, so that
+    the shuffle files of one slice are gone before the next begins.
+    """
+    found = []
+    with shuffles_freed(columns.sparkSession):
+        slices = SLICES if columns.count() > AT_ONCE else 1
+        for n in range(slices):
+            some = [t.where(F.pmod(F.xxhash64("db_id"), F.lit(slices)) == n) if slices > 1 else t for t in (columns, mapping, described)]
+            placed = cut(_placed(*some[:2]))
+            rows = _matched(placed, some[2])
+            if slices > 1:
+                rows = cut(rows)
+                discard(placed)
+            found.append(rows)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _placed(columns: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The columns with the ``file`` of their table."""
+    files = mapping.select("db_id", "table_name", "file")
+    return columns.join(files, ["db_id", "table_name"], "left").select(*columns.columns, "file")
+
+
+def _matched(placed: DataFrame, described: DataFrame) -> DataFrame:
+    own = [c for c in placed.columns if c != "file"]
+    blank = placed.where("file IS NULL").select(*own, *(F.lit("").alias(f) for f in DESCRIPTION_FIELDS))
+    asked = placed.where("file IS NOT NULL").select(
+        "db_id", "file", F.struct(*(c for c in own if c != "db_id")).alias("_own"), F.lit(None).alias("_told")
+    )
+    given = described.where((F.col("original_column_name") != "") & F.col("db_id").isNotNull() & F.col("file").isNotNull()).select(
+        "db_id", "file", F.lit(None).alias("_own"),
+        F.struct(F.col("original_column_name").alias("column_name"), "row_ordinal", *DESCRIPTION_FIELDS).alias("_told"),
+    )
+    met = asked.unionByName(given).groupBy("db_id", "file").agg(
+        F.collect_list("_own").alias("_owns"), F.collect_list("_told").alias("_tolds")
+    )
+    # Both go through one list, each with the other's field as null.
+    own_kind, told_kind = asked.schema["_own"].dataType, given.schema["_told"].dataType
+
+    def item(row: Column, has: str) -> Column:
+        return F.struct(
+            text.casefold(row["column_name"]).alias("_name"),
+            *((row if name == has else F.lit(None).cast(kind)).alias(name) for name, kind in (("_own", own_kind), ("_told", told_kind))),
+        )
+
+    both = F.concat(F.transform("_owns", lambda r: item(r, "_own")), F.transform("_tolds", lambda r: item(r, "_told")))
     return (
-        columns.withColumn("_column", text.casefold(F.col("column_name")))
-        .join(by_table, ["db_id", "table_name", "_column"], "left")
-        .drop("_column")
-        .withColumns({f: F.coalesce(f, F.lit("")) for f in DESCRIPTION_FIELDS})
+        met.where(F.size("_owns") > 0).select("db_id", "file", F.inline(both))
+        .groupBy("db_id", "file", "_name")
+        .agg(F.collect_list("_own").alias("_owns"), F.max_by("_told", "_told.row_ordinal").alias("_last"))
+        .select("db_id", "_last", F.inline("_owns"))
+        .select(*own, *(F.coalesce(F.col("_last")[f], F.lit("")).alias(f) for f in DESCRIPTION_FIELDS))
+        .unionByName(blank)
     )

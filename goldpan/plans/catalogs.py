@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
+from ..session import shuffles_freed
 from . import inputs
 from .inputs import CATALOG, CATALOG_FK, METADATA, SAMPLES, with_
 from .registry import Tables, query
@@ -499,7 +500,8 @@ mapped AS (SELECT *, 'name' AS how FROM exact UNION ALL
 
 def _catalog(t: Tables):
     """The catalog from its joined rows, kept as the numbers it is derived from: several passes read it."""
-    return inputs.derived_catalog(t.once("catalog rows", lambda: inputs.catalog_rows(t)))
+    with shuffles_freed(t.spark):
+        return inputs.derived_catalog(t.once("catalog rows", lambda: inputs.catalog_rows(t)))
 
 
 def _described(columns):
@@ -549,6 +551,7 @@ def _(t: Tables):
     columns = _catalog(t)
     described = _described(columns)
     mapping = cat.map_description_files(columns, described)
-    return cat.column_descriptions(columns, mapping, described).select(
+    named = columns.select("db_id", "table_name", "ordinal", "column_name")
+    return cat.column_descriptions(named, mapping, described).select(
         "db_id", "table_name", "ordinal", *cat.DESCRIPTION_FIELDS
     )
