@@ -637,8 +637,9 @@ def description_choices(columns: DataFrame, described: DataFrame) -> DataFrame:
             .select("db_id", "table_name", "file", F.lit("name").alias("how"))
         )
         open_tables = cut(tables.join(exact, ["db_id", "table_name"], "left_anti"))
+        discard(tables)
         open_files = cut(files.join(exact, ["db_id", "file"], "left_anti"))
-        discard(tables, files)
+        discard(files)
         wanted = open_tables.select("db_id", "table_name", "table_ordinal", F.explode("_columns").alias("_column"))
         offered = open_files.select("db_id", "file", F.explode("_columns").alias("_column")).where(F.col("_column") != "")
         scores = wanted.join(offered, ["db_id", "_column"]).groupBy("db_id", "table_name", "table_ordinal", "file").agg(
